@@ -1,6 +1,8 @@
-"""Queries and their oracle SQL, by operator."""
+"""All queries of the engine and their oracle SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import conversation, retrieval  # noqa: F401
+from .base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
