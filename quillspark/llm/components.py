@@ -28,7 +28,8 @@ def components(links: DataFrame) -> DataFrame:
     mark = [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
     seen = None
     while True:
-        edges = scratch.stage(star(star(edges, True), False), "edges")
+        before, edges = edges, scratch.stage(star(star(edges, True), False), "edges")
+        scratch.release(links.sparkSession, before)
         now = edges.agg(*mark).first()
         if now == seen:
             break

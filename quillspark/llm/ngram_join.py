@@ -3,8 +3,9 @@
 A document is the set of its word n-grams, as 64-bit hashes.  Documents of
 equal sets are one class with one representative.  Under any global order of
 the tokens, two sets of Jaccard similarity t or more share a token among the
-first ``n - ceil(t n) + 1`` of each; a candidate pair must do so under each of
-the orders, and what is left is verified on the whole sets.
+first ``n - ceil(t n) + 1`` of each, and ``c`` tokens among ``c - 1`` more; a
+candidate pair must do so under each of the orders, and what is left is
+verified on the whole sets.
 
 All orders put rare tokens first.  Exact document counts are taken of the
 tokens of a hash zone, a share of the token space; tokens of the zone in at
@@ -58,38 +59,47 @@ class NgramJoin:
     """Links of Jaccard similarity ``percent``/100 or more, and their components."""
 
     def __init__(self, docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"):
-        self.n, self.percent = n, percent
+        self.n, self.percent, self.spark = n, percent, docs.sparkSession
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         zone = min(1.0, 0.025 * (100 - percent))
         #: Tokens are hashes: below this bound they are in the counted zone.
         self.zone = f"x < {int(zone * 2**64) - 2**63}L" if zone < 1 else "true"
         sets = with_shingles(self.docs, n)
-        self.rows = scratch.stage(
+        sets = scratch.stage(
             sets.select("doc_id", F.size("sh").alias("n"), F.xxhash64("sh").alias("f"), F.expr(f"filter(sh, x -> {self.zone})").alias("zone")), "sets"
         )
+        self.rows = scratch.stage(sets.select("doc_id", "n", "f"), "rows")
         #: One node a class of equal sets; f identifies it.
         self.nodes = scratch.stage(
-            self.rows.where("n > 0 and doc_id is not null").groupBy("f", "n").agg(F.min("doc_id").alias("rep"), F.first("zone").alias("zone")), "nodes"
+            sets.where("n > 0 and doc_id is not null").groupBy("f", "n").agg(F.min("doc_id").alias("rep"), F.first("zone").alias("zone")), "nodes"
         )
+        scratch.release(self.spark, sets)
 
-    def prefix_size(self, n: str = "n") -> str:
-        """Tokens of a prefix: n - ceil(percent n / 100) + 1."""
-        return f"({n} - ({self.percent} * {n} + 99) div 100 + 1)"
+    def common(self, n: str = "n") -> str:
+        """Tokens that the prefixes of a linked pair must share at least."""
+        return f"greatest(1, {100 - self.percent} * {n} div 250)"
+
+    def prefix_size(self, n: str = "n", common: bool = True) -> str:
+        """Tokens of a prefix: n - ceil(percent n / 100), and as many more as must be shared."""
+        return f"cast({n} - ({self.percent} * {n} + 99) div 100 + {self.common(n) if common else 1} as int)"
 
     def sets_of(self, nodes: DataFrame) -> DataFrame:
         """(f, sh) of some nodes, from the texts of their representatives."""
         some = with_shingles(self.docs.join(nodes.select("f", F.col("rep").alias("doc_id")), "doc_id"), self.n)
         # Tested on the written table: a filter on computed sets would be pushed down and compute them again.
-        sets = scratch.stage(some.select("f", F.xxhash64("sh").alias("own"), "sh"), "whole").where("own = f").drop("own")
-        twice = sets.select("f").groupBy("f").count().where("count > 1").take(1)
-        return sets.dropDuplicates(["f"]) if twice else sets
+        sets = scratch.stage(some.select("f", F.xxhash64("sh").alias("own"), "sh"), "whole")
+        if sets.groupBy("f").count().where("count > 1").take(1):
+            sets = scratch.stage(sets.where("own = f").dropDuplicates(["f"]), "whole")
+        return sets
 
     def ranked(self) -> DataFrame:
-        """Nodes with ``rare`` (their rare tokens of the zone) and ``hard`` (too few of them for a prefix)."""
+        """Nodes with ``rare`` (their rare tokens of the zone), ``common`` (its others) and ``hard`` (too few rare ones for a prefix)."""
         tokens = self.nodes.select("f", F.explode_outer("zone").alias("t")).where("t is not null")
         frequent = scratch.stage(tokens.groupBy("t").count().where(F.col("count") > RARE).select("t"), "frequent")
+        scratch.release(self.spark)
         met = scratch.stage(tokens.join(frequent, "t").groupBy("f").agg(F.collect_list("t").alias("common")), "met")
-        return scratch.stage(
+        scratch.release(self.spark, frequent)
+        ranked = scratch.stage(
             self.nodes.join(met, "f", "left")
             .withColumn("common", F.coalesce("common", F.array().cast("array<bigint>")))
             .withColumn("rare", F.array_except("zone", "common"))
@@ -97,24 +107,41 @@ class NgramJoin:
             .select("f", "n", "rep", "rare", "common", "hard"),
             "ranked",
         )
+        nodes, self.nodes = self.nodes, scratch.stage(ranked.select("f", "rep"), "nodes")
+        scratch.release(self.spark, met, nodes)
+        return ranked
 
     def close_sizes(self, a: str, b: str) -> Column:
         return F.expr(f"100 * least({a}, {b}) >= {self.percent} * greatest({a}, {b})")
 
-    def candidates(self, ranked: DataFrame, seed: int) -> DataFrame:
-        """Pairs (a, b) that share a rare token of their prefixes under the order of one hash seed."""
-        prefix = ranked.withColumn("p", F.expr(f"slice(sort_array(transform(rare, x -> xxhash64(x, {seed}L))), 1, {self.prefix_size()})"))
-        posted = prefix.select("f", "n", "hard", F.explode_outer("p").alias("t")).where("t is not null")
-        lists = posted.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("f", "n", "hard"))).alias("m"))
+    def ordered(self, tokens: str, seed: int) -> str:
+        """Tokens under the order of one hash seed."""
+        return f"sort_array(transform({tokens}, x -> xxhash64(x, {seed}L)))"
+
+    def candidates(self, ranked: DataFrame) -> DataFrame:
+        """Pairs (a, b), not both hard, whose prefixes share enough rare tokens under both orders."""
+        prefix = ranked.withColumn("p", F.expr(f"slice({self.ordered('rare', 1)}, 1, {self.prefix_size()})"))
+        # A hard node has a negative size: one column less to move.
+        posted = prefix.select("f", F.expr("if(hard, -n, n)").alias("n"), F.explode_outer("p").alias("t")).where("t is not null")
+        lists = posted.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("f", "n"))).alias("m"))
         pairs = lists.where("size(m) > 1").select(
             F.explode_outer(
                 F.expr(
-                    f"""flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)),
-                    y -> not (x.hard and y.hard) and 100 * least(x.n, y.n) >= {self.percent} * greatest(x.n, y.n)), y -> struct(x.f as a, y.f as b))))"""
+                    f"""flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> (x.n > 0 or y.n > 0)
+                    and 100 * least(abs(x.n), abs(y.n)) >= {self.percent} * greatest(abs(x.n), abs(y.n))), y -> struct(x.f as a, y.f as b, least(abs(x.n), abs(y.n)) as n))))"""
                 )
             ).alias("pair")
         )
-        return pairs.where("pair is not null").select("pair.a", "pair.b").distinct()
+        pairs = pairs.where("pair is not null").select("pair.*").groupBy("a", "b").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("c"))
+        pairs = scratch.stage(pairs.where(f"c >= {self.common()}").select("a", "b", "n"), "pairs")
+        scratch.release(self.spark)
+        # The second order is looked at pair by pair.
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("f")).distinct()
+        second = scratch.stage(ranked.join(ends, "f", "left_semi").select("f", F.expr(f"slice({self.ordered('rare', 2)}, 1, {self.prefix_size()})").alias("q")), "second")
+        both = pairs.join(second.select(F.col("f").alias("a"), F.col("q").alias("x")), "a").join(second.select(F.col("f").alias("b"), F.col("q").alias("y")), "b")
+        both = scratch.stage(both.where(f"size(array_intersect(x, y)) >= {self.common()}").select("a", "b"), "pairs")
+        scratch.release(self.spark, pairs, second)
+        return both
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) that are links, by their whole sets."""
@@ -122,7 +149,24 @@ class NgramJoin:
         right = sets.select(F.col("f").alias("b"), F.col("sh").alias("y"))
         both = pairs.select("a", "b").join(right, "b").join(left, "a")
         shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("s"), (F.size("x") + F.size("y")).alias("n"))
-        return scratch.stage(shared.where(f"100 * s >= {self.percent} * (n - s)").select("a", "b"), "links")
+        links = scratch.stage(shared.where(f"100 * s >= {self.percent} * (n - s)").select("a", "b"), "links")
+        scratch.release(self.spark)
+        return links
+
+    def easy_links(self, ranked: DataFrame) -> DataFrame:
+        """Links of which at least one end is not hard, enough of them to join all that are linked."""
+        pairs = self.candidates(ranked)
+        ends = scratch.stage(ranked.select("f", "rep").join(pairs.select(F.explode(F.array("a", "b")).alias("f")).distinct(), "f", "left_semi"), "ends")
+        sets = self.sets_of(ends)
+        # A star first: of each node the pair with its least neighbour.
+        links = self.verified(pairs.groupBy("b").agg(F.min("a").alias("a")), sets)
+        roots = scratch.stage(components(links), "parts")
+        root = lambda c: F.coalesce(f"root_{c}", c)
+        left = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left")
+        left = left.join(roots.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b", "left").where(root("a") != root("b"))
+        links = links.unionByName(self.verified(left, sets))
+        scratch.release(self.spark, sets, ends, roots)
+        return links
 
     def hard_links(self, ranked: DataFrame) -> DataFrame | None:
         """Links among the hard nodes, enough of them to join all that are linked."""
@@ -131,9 +175,12 @@ class NgramJoin:
             return None
         sets = self.sets_of(hard)
         whole = hard.join(sets, "f")
-        order = lambda of, seed: f"sort_array(transform({of}, x -> xxhash64(x, {seed}L)))"
         for seed in (1, 2):
-            whole = whole.withColumn(f"p{seed}", F.expr(f"slice(concat({order('rare', seed)}, {order(f'filter(sh, x -> not ({self.zone}))', seed)}, {order('common', seed)}), 1, {self.prefix_size()})"))
+            whole = whole.withColumn(
+                f"p{seed}",
+                F.expr(f"slice(concat({self.ordered('rare', seed)}, {self.ordered(f'filter(sh, x -> not ({self.zone}))', seed)}, {self.ordered('common', seed)}), 1, {self.prefix_size(common=False)})"),
+            )
+        whole = scratch.stage(whole.select("f", "n", "p1", "p2"), "hard")
         posted = scratch.stage(whole.select("f", "n", F.explode_outer("p1").alias("t")).where("t is not null"), "posted")
         sizes = posted.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
         central = posted.join(sizes, "t").groupBy("f", "n").agg(F.sum("c").alias("weight"))
@@ -161,20 +208,17 @@ class NgramJoin:
         return links
 
     def links(self) -> DataFrame:
-        """Verified links (a, b) between classes; of hard classes, enough to tell their components."""
+        """Verified links (a, b) between classes, enough of them to tell the components."""
         ranked = self.ranked()
-        pairs = self.candidates(ranked, 1).join(self.candidates(ranked, 2), ["a", "b"])
-        pairs = scratch.stage(pairs, "pairs")
-        ends = pairs.select(F.col("a").alias("f")).unionByName(pairs.select(F.col("b").alias("f"))).distinct()
-        sets = self.sets_of(scratch.stage(ends.join(ranked.select("f", "rep"), "f"), "ends"))
-        links = self.verified(pairs, sets)
-        hard = self.hard_links(ranked)
+        links, hard = self.easy_links(ranked), self.hard_links(ranked)
+        scratch.release(self.spark, ranked)
         return links if hard is None else links.unionByName(hard)
 
     def classes(self) -> DataFrame:
         """Per document row: doc_id, n_shingles, component_id (least doc_id it reaches)."""
-        parts = components(self.links())
-        nodes = self.nodes.select("f", "rep").join(parts.select(F.col("node").alias("f"), "root"), "f", "left").withColumn("root", F.coalesce("root", "f"))
+        links = self.links()
+        parts = components(links)
+        nodes = self.nodes.join(parts.select(F.col("node").alias("f"), "root"), "f", "left").withColumn("root", F.coalesce("root", "f"))
         least = nodes.groupBy("root").agg(F.min("rep").alias("component_id"))
         of = scratch.stage(nodes.join(least, "root").select("f", "component_id"), "classes")
         return self.rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "f").join(of, "f", "left").select(

@@ -7,6 +7,7 @@ outputs, through a pyarrow file system opened from the folder's URI.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,11 +39,28 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     path = fresh(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def _delete(spark: SparkSession, uri: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete staged tables that later stages no longer read, and let go of the shuffle files of finished stages.
+
+    Spark deletes shuffle files once the driver's garbage collector finds their
+    plans unreachable, which a driver that does little else may not do for long.
+    """
+    for table in tables:
+        _delete(spark, table.scratch_path)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def clear(spark: SparkSession) -> None:
     """Remove everything that this session wrote to the shared folder."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, root(spark))
