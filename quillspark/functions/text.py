@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,3 +85,17 @@ def uniform(seed: str, key) -> Column:
 def short_hash(x, n: int = 8) -> Column:
     """The first characters of a SHA-1 (HSH01)."""
     return F.left(F.sha1(_c(x)), F.lit(n))
+
+
+def bpe_count(x, encode) -> Column:
+    """Tokens by an injected encoder, a picklable callable str -> list (STR03)."""
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(encode(t)) if t else 0 for t in texts])
+
+    return count(_c(x))
+
+
+def stamp(format: str = "yyyyMMdd-HHmmss") -> Column:
+    """The current time as a name (DAT01)."""
+    return F.date_format(F.current_timestamp(), format)

@@ -82,3 +82,37 @@ def document(claims: DataFrame, least: int) -> DataFrame:
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "line"))), lambda x: x.line), "\n")
     order = F.array_position(F.array(*map(F.lit, SECTIONS)), F.col("section"))
     return kept.groupBy("section").agg(text.alias("body")).withColumn("ord", order.cast("long"))
+
+
+class Ledger:
+    """A ledger as two frames, with the operations that tools offer (UDF06); each returns a new ledger.
+
+    claims: claim_id, text, path, scope.  facts: claim_id, scene_id, kind, quote, seq.
+    """
+
+    def __init__(self, claims: DataFrame, facts: DataFrame):
+        self.claims, self.facts = claims, facts
+
+    def listed(self, section: str | None = None) -> DataFrame:
+        """Claims with their support, those of a section or all."""
+        own = self.claims if section is None else self.claims.where(F.split("path", "/")[0] == section)
+        return own.join(support(self.facts), "claim_id", "left").withColumns({"support": F.coalesce("support", F.lit(0).cast("long")), "contradicting": F.coalesce("contradicting", F.lit(0).cast("long"))})
+
+    def viewed(self, claim_id: int) -> DataFrame:
+        """The evidence of one claim."""
+        return self.facts.where(F.col("claim_id") == claim_id).orderBy("seq")
+
+    def add(self, claim_id: int, text: str, path: str) -> Ledger:
+        row = self.claims.sparkSession.createDataFrame([(claim_id, text, path)], "claim_id long, text string, path string")
+        row = row.where(valid_path(F.col("path"))).withColumn("scope", scope(F.col("path")))
+        return Ledger(self.claims.unionByName(row), self.facts)
+
+    def evidence(self, claim_id: int, scene_id: int, kind: str, seq: int, quote: str | None = None) -> Ledger:
+        """Support or contradict; a second event of one claim, scene and kind is refused whole, quote and all."""
+        row = self.facts.sparkSession.createDataFrame([(claim_id, scene_id, kind, quote, seq)], "claim_id long, scene_id long, kind string, quote string, seq long")
+        new = row.join(self.facts, ["claim_id", "scene_id", "kind"], "left_anti").join(self.claims, "claim_id", "left_semi")
+        return Ledger(self.claims, self.facts.unionByName(new.select(*self.facts.columns)))
+
+    def refined(self, claim_id: int, text: str) -> Ledger:
+        own = F.col("claim_id") == claim_id
+        return Ledger(self.claims.withColumn("text", F.when(own, F.lit(text)).otherwise(F.col("text"))), self.facts.withColumn("kind", F.when(own, F.lit("support")).otherwise(F.col("kind"))))

@@ -82,3 +82,15 @@ def category_tree(edges: DataFrame, root: str, depth: int = 10) -> DataFrame:
             break
         found = found.unionByName(level)
     return found
+
+
+def optional_summaries(issues: DataFrame, summaries: DataFrame, key: str = "issue") -> DataFrame:
+    """Issues with their summary, or an empty one (SRC14)."""
+    joined = issues.join(summaries.select(key, F.struct("*").alias("__s")), key, "left")
+    return joined.withColumn("key_events", F.coalesce("__s.key_events", F.array().cast("array<string>"))).drop("__s")
+
+
+def images(spark: SparkSession, root: str) -> DataFrame:
+    """Sorted image paths of a folder tree; contents are not read (SRC26)."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{jpg,jpeg}").load(root)
+    return rows.select("path", "length").orderBy("path")
