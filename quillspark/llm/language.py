@@ -39,7 +39,7 @@ SAMPLE, MAX_LANGUAGES = 500, 32
 BINS = 1 << 16
 TEMPER = 0.25
 #: A text must be likelier per trigram than the least likely training text by no less than this.
-MARGIN = 1.0
+MARGIN = 3.0
 MIN_LETTERS = 4
 #: Pseudo-rows by which each level is drawn to the one above it.
 STRENGTH = 10.0
@@ -141,6 +141,7 @@ def suffix_of(host: Column) -> Column:
 def identify(rows: DataFrame, model: TextModel, text: Column, declared: Column, host: Column, markup: bool = False) -> DataFrame:
     """``rows`` with a struct column ``__language``: lang, probability, text_lang, accepted."""
     n = len(model.languages)
+    scratch.bound_batches(rows.sparkSession)
 
     @F.pandas_udf("array<double>")
     def likelihoods(texts: pd.Series) -> pd.Series:

@@ -9,15 +9,16 @@ verified on the whole sets.
 
 All orders put rare tokens first.  Exact document counts are taken of the
 tokens of a hash zone, a share of the token space; tokens of the zone in at
-most ``RARE`` classes come first, then tokens outside the zone, then the
-frequent ones; hash functions order them within.  Hence most prefixes hold
-rare tokens only, whose posting lists are short by construction, however
-common a passage is.
-
-Classes with too few rare tokens (large families of near copies, texts of
-common passages, very short texts) are joined among themselves: each posting
-list is first compared with its most central member, which links a family by
-a star, and then only pairs across different components are compared, so no
+most ``RARE`` classes come first, then all others; hash functions order them
+within.  Hence most prefixes hold rare tokens only, whose posting lists are
+short by construction, however common a passage is.
+
+Classes with too few rare tokens in the zone are ranked again among
+themselves, by counts of all their tokens.  Those that consist of frequent
+tokens nearly whole (large families of near copies) are joined by the whole
+order, less frequent tokens first: each posting list is compared with its most
+central member, which links a family by a star, and pairs across different
+components meet by the tokens in which they differ from that member, so no
 link between components is lost and no list is expanded into all its pairs.
 
 Defined results: texts that are null or without words have an empty set and
@@ -37,7 +38,10 @@ from .decontaminate import LOWER, UPPER
 BLANK = r"[\x20\x09-\x0D]+"
 #: Longest posting list that is expanded into pairs.
 RARE = 32
-STAR_ROUNDS = 2
+#: Leaders that a list of frequent tokens gets, one after another, before its open pairs are compared one by one.
+LEADERS = 4
+#: Percent of similarity to a leader from which on a node is near, and below which it is far: apart by more than any 1 - t.
+NEAR, FAR = 30, 55
 
 
 def words(text: Column) -> Column:
@@ -92,23 +96,23 @@ class NgramJoin:
             sets = scratch.stage(sets.where("own = f").dropDuplicates(["f"]), "whole")
         return sets
 
-    def ranked(self) -> DataFrame:
-        """Nodes with ``rare`` (their rare tokens of the zone), ``common`` (its others) and ``hard`` (too few rare ones for a prefix)."""
-        tokens = self.nodes.select("f", F.explode_outer("zone").alias("t")).where("t is not null")
-        frequent = scratch.stage(tokens.groupBy("t").count().where(F.col("count") > RARE).select("t"), "frequent")
+    def ranked(self, nodes: DataFrame) -> DataFrame:
+        """Nodes (f, n, rep, zone) with ``rare`` (their rare tokens of the zone), ``common`` (level and token of its others) and ``hard`` (too few rare ones for a prefix)."""
+        tokens = nodes.select("f", F.explode_outer("zone").alias("t")).where("t is not null")
+        frequent = tokens.groupBy("t").count().where(F.col("count") > RARE).select("t", F.floor(F.log2("count")).cast("int").alias("level"))
+        frequent = scratch.stage(frequent, "frequent")
         scratch.release(self.spark)
-        met = scratch.stage(tokens.join(frequent, "t").groupBy("f").agg(F.collect_list("t").alias("common")), "met")
+        met = scratch.stage(tokens.join(frequent, "t").groupBy("f").agg(F.collect_list(F.struct("level", "t")).alias("common")), "met")
         scratch.release(self.spark, frequent)
         ranked = scratch.stage(
-            self.nodes.join(met, "f", "left")
-            .withColumn("common", F.coalesce("common", F.array().cast("array<bigint>")))
-            .withColumn("rare", F.array_except("zone", "common"))
+            nodes.join(met, "f", "left")
+            .withColumn("common", F.coalesce("common", F.expr("cast(array() as array<struct<level:int,t:bigint>>)")))
+            .withColumn("rare", F.expr("array_except(zone, transform(common, x -> x.t))"))
             .withColumn("hard", F.expr(f"size(rare) < {self.prefix_size()}"))
             .select("f", "n", "rep", "rare", "common", "hard"),
             "ranked",
         )
-        nodes, self.nodes = self.nodes, scratch.stage(ranked.select("f", "rep"), "nodes")
-        scratch.release(self.spark, met, nodes)
+        scratch.release(self.spark, met)
         return ranked
 
     def close_sizes(self, a: str, b: str) -> Column:
@@ -153,11 +157,11 @@ class NgramJoin:
         scratch.release(self.spark)
         return links
 
-    def easy_links(self, ranked: DataFrame) -> DataFrame:
+    def easy_links(self, ranked: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         """Links of which at least one end is not hard, enough of them to join all that are linked."""
         pairs = self.candidates(ranked)
-        ends = scratch.stage(ranked.select("f", "rep").join(pairs.select(F.explode(F.array("a", "b")).alias("f")).distinct(), "f", "left_semi"), "ends")
-        sets = self.sets_of(ends)
+        if sets is None:
+            sets = self.sets_of(scratch.stage(ranked.select("f", "rep").join(pairs.select(F.explode(F.array("a", "b")).alias("f")).distinct(), "f", "left_semi"), "ends"))
         # A star first: of each node the pair with its least neighbour.
         links = self.verified(pairs.groupBy("b").agg(F.min("a").alias("a")), sets)
         roots = scratch.stage(components(links), "parts")
@@ -165,54 +169,95 @@ class NgramJoin:
         left = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left")
         left = left.join(roots.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b", "left").where(root("a") != root("b"))
         links = links.unionByName(self.verified(left, sets))
-        scratch.release(self.spark, sets, ends, roots)
+        scratch.release(self.spark, roots)
         return links
 
-    def hard_links(self, ranked: DataFrame) -> DataFrame | None:
-        """Links among the hard nodes, enough of them to join all that are linked."""
-        hard = ranked.where("hard")
-        if not hard.take(1):
-            return None
-        sets = self.sets_of(hard)
-        whole = hard.join(sets, "f")
+    def hard_links(self, ranked: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links among nodes of frequent tokens, enough of them to join all that are linked.
+
+        Each posting list has a leader, and members are compared with it.  Let
+        D(x) be the tokens in which x and the leader differ.  Then x and y
+        differ in d(x) + d(y) - 2 |D(x) & D(y)| tokens, and may differ in no
+        more than B = (1 - t) / (1 + t) (n(x) + n(y)).  If d(x) + d(y) <= B,
+        both are linked with the leader, so the stars join them.  Otherwise
+        they share (d(x) + d(y) - B) / 2 or more tokens of D(x) and D(y), which
+        are rare even if those of x and y are not, and meet by the prefixes of
+        these sets.  That covers pairs near the leader; as similarity to it
+        differs by no more than 1 - t within a link, other pairs lie beyond
+        FAR both, and their lists get a next leader.
+        """
+        whole = ranked
         for seed in (1, 2):
-            whole = whole.withColumn(
-                f"p{seed}",
-                F.expr(f"slice(concat({self.ordered('rare', seed)}, {self.ordered(f'filter(sh, x -> not ({self.zone}))', seed)}, {self.ordered('common', seed)}), 1, {self.prefix_size(common=False)})"),
-            )
+            common = f"transform(sort_array(transform(common, x -> struct(x.level as level, xxhash64(x.t, {seed}L) as h))), x -> x.h)"
+            whole = whole.withColumn(f"p{seed}", F.expr(f"slice(concat({self.ordered('rare', seed)}, {common}), 1, {self.prefix_size(common=False)})"))
         whole = scratch.stage(whole.select("f", "n", "p1", "p2"), "hard")
-        posted = scratch.stage(whole.select("f", "n", F.explode_outer("p1").alias("t")).where("t is not null"), "posted")
-        sizes = posted.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-        central = posted.join(sizes, "t").groupBy("f", "n").agg(F.sum("c").alias("weight"))
-        posted = scratch.stage(posted.join(sizes.select("t"), "t").join(central.select("f", "weight"), "f"), "posted")
-        links, of = None, None
-        for turn in range(STAR_ROUNDS + 1):
-            if of is None:
-                now = posted.withColumn("root", F.col("f"))
-            else:
-                now = posted.join(of.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
-            spread = now.groupBy("t").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("weight", "f", "n", "root")).alias("lead")).where("low <> high")
-            if turn < STAR_ROUNDS:
-                pairs = now.join(spread.select("t", "lead"), "t").where("root <> lead.root").where(self.close_sizes("n", "lead.n"))
-                pairs = pairs.select(F.least("f", "lead.f").alias("a"), F.greatest("f", "lead.f").alias("b")).distinct()
-            else:
-                # What is left: pairs of different components that share a token under each order.
-                open_lists = scratch.stage(now.join(spread.select("t"), "t").select("t", "f", "n", "root"), "open")
-                x, y = (open_lists.select("t", *(F.col(c).alias(c + s) for c in ("f", "n", "root"))) for s in "xy")
-                pairs = x.join(y, "t").where("fx < fy and rootx <> rooty").where(self.close_sizes("nx", "ny")).select(F.col("fx").alias("a"), F.col("fy").alias("b")).distinct()
-                second = whole.select("f", "p2")
-                pairs = pairs.join(second.select(F.col("f").alias("a"), F.col("p2").alias("px")), "a").join(second.select(F.col("f").alias("b"), F.col("p2").alias("py")), "b").where(F.arrays_overlap("px", "py")).select("a", "b")
-            found = self.verified(pairs, sets)
-            links = found if links is None else links.unionByName(found)
-            of = scratch.stage(components(links), "parts")
-        return links
+        posted = whole.select("f", "n", F.explode_outer("p1").alias("t")).where("t is not null")
+        links = self.spark.createDataFrame([], "a long, b long")
+        x, y = sets.select("f", F.col("sh").alias("x")), sets.select(F.col("f").alias("lead"), F.col("sh").alias("y"))
+        for _ in range(LEADERS):
+            posted = scratch.stage(posted, "posted")
+            sizes = posted.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+            if not sizes.take(1):
+                return links
+            heavy = posted.join(sizes, "t").groupBy("f").agg(F.sum("c").alias("weight"))
+            heavy = scratch.stage(posted.join(sizes.select("t"), "t").join(heavy, "f"), "heavy")
+            leads = heavy.groupBy("t").agg(F.max(F.struct("weight", "f", "n")).alias("l")).select("t", F.col("l.f").alias("lead"), F.col("l.n").alias("ln"))
+            led = heavy.join(leads, "t").select("t", "f", "n", "lead", (F.expr("100 * least(n, ln)") >= NEAR * F.expr("greatest(n, ln)")).alias("even"))
+            led = scratch.stage(led, "led")
+            stars = led.where("even").select("f", "n", "lead").distinct().join(x, "f").join(y, "lead")
+            stars = stars.withColumn("s", F.size(F.array_intersect("x", "y"))).withColumn("all", F.size("y") + F.col("n") - F.col("s"))
+            stars = scratch.stage(
+                stars.select("f", "n", "lead", "s", "all", F.expr(f"if(100 * s >= {NEAR} * `all`, concat(array_except(x, y), array_except(y, x)), array())").alias("d")), "stars"
+            )
+            links = links.unionByName(scratch.stage(stars.where(f"f <> lead and 100 * s >= {self.percent} * `all`").select(F.col("f").alias("a"), F.col("lead").alias("b")), "links"))
+            roots = scratch.stage(components(links), "roots")
+            near = stars.where("size(d) > 0").join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
+            apart = near.select("lead", "f", "n", "root", F.size("d").alias("k"), F.explode_outer("d").alias("u"))
+            counts = apart.groupBy("lead", "u").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("low"), F.max("root").alias("high"))
+            first = F.sort_array(F.collect_list(F.struct("c", "u", (F.col("low") != F.col("high")).alias("open"))))
+            apart = apart.join(counts, ["lead", "u"]).groupBy("lead", "f", "n", "root", "k").agg(first.alias("d"))
+            # The most tokens in which a linked pair may differ, by one of its sizes.
+            most = f"(n * {100 - self.percent} div {self.percent} + 1)"
+            apart = apart.select("lead", "f", "n", "root", "k", F.posexplode_outer(F.expr(f"slice(d, 1, {most} + 1)")).alias("at", "u")).where("u.open")
+            apart = scratch.stage(apart.select("lead", "f", "n", "root", "k", "at", "u.u", F.expr(f"at <= {most} div 2 + 1").alias("short")), "apart")
+            own = apart.where("short").select("lead", "u", *(F.col(c).alias(c + "y") for c in ("f", "n", "root", "k")))
+            other = apart.select("lead", "u", *(F.col(c).alias(c + "x") for c in ("f", "n", "root", "k")))
+            pairs = own.join(other, ["lead", "u"]).where("(ky < kx or (ky = kx and fy < fx)) and rootx <> rooty").where(self.close_sizes("nx", "ny"))
+            pairs = pairs.select(F.least("fx", "fy").alias("a"), F.greatest("fx", "fy").alias("b")).distinct()
+            links = links.unionByName(self.verified(pairs, sets))
+            far = led.join(stars.select("f", "lead", "s", "all"), ["f", "lead"], "left").where(f"not even or 100 * s < {FAR} * `all`")
+            posted = far.select("f", "n", "t")
+        # Lists that are left: pairs of different components that share a token under each order.
+        roots = scratch.stage(components(links), "roots")
+        posted = scratch.stage(posted.join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f")), "posted")
+        one, two = (posted.select("t", *(F.col(c).alias(c + k) for c in ("f", "n", "root"))) for k in "xy")
+        pairs = one.join(two, "t").where("fx < fy and rootx <> rooty").where(self.close_sizes("nx", "ny")).select(F.col("fx").alias("a"), F.col("fy").alias("b")).distinct()
+        second = whole.select("f", "p2")
+        pairs = pairs.join(second.select(F.col("f").alias("a"), F.col("p2").alias("px")), "a").join(second.select(F.col("f").alias("b"), F.col("p2").alias("py")), "b")
+        return links.unionByName(self.verified(pairs.where(F.arrays_overlap("px", "py")).select("a", "b"), sets))
 
     def links(self) -> DataFrame:
-        """Verified links (a, b) between classes, enough of them to tell the components."""
-        ranked = self.ranked()
-        links, hard = self.easy_links(ranked), self.hard_links(ranked)
+        """Verified links (a, b) between classes, enough of them to tell the components.
+
+        Nodes that are hard by the tokens of the zone are ranked again among
+        themselves, by counts of all their tokens; those that are hard still
+        consist of frequent tokens nearly whole.
+        """
+        nodes, ranked = self.nodes, self.ranked(self.nodes)
+        self.nodes = scratch.stage(ranked.select("f", "rep"), "nodes")
+        scratch.release(self.spark, nodes)
+        links = self.easy_links(ranked)
+        hard = scratch.stage(ranked.where("hard").select("f", "n", "rep"), "hard")
         scratch.release(self.spark, ranked)
-        return links if hard is None else links.unionByName(hard)
+        if not hard.take(1):
+            return links
+        sets = self.sets_of(hard)
+        ranked = self.ranked(scratch.stage(hard.join(sets, "f").withColumnRenamed("sh", "zone"), "hard"))
+        links = links.unionByName(self.easy_links(ranked, sets))
+        if ranked.where("hard").take(1):
+            links = links.unionByName(self.hard_links(ranked.where("hard"), sets))
+        scratch.release(self.spark, ranked, sets, hard)
+        return links
 
     def classes(self) -> DataFrame:
         """Per document row: doc_id, n_shingles, component_id (least doc_id it reaches)."""

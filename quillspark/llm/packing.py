@@ -38,6 +38,7 @@ PIECES_A_PARTITION, FAN_IN = 60_000, 8
 def cut_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col="doc_id", text_col="text", ids: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` tokens: doc_id, piece, start, length, ids_crc32 (and ids, as 4-byte little-endian)."""
     end = np.asarray([end_id], "<u4").tobytes()
+    scratch.bound_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokens.word_tokenizer(vocabulary)

@@ -16,12 +16,15 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
+
 #: Rows that train the scorer; those of least id hash.
 SAMPLE = 6000
 #: Size of the hashed feature space, as a power of two.
@@ -129,7 +132,10 @@ def shape(word: str) -> str:
 
 
 class Shapes:
-    """Hashed features of a text: counts of shapes, of shape pairs and of repeated words, by length."""
+    """Hashed features of a text: counts of shapes, of shape pairs and of repeated words, by length.
+
+    A few words more are counted in the length, so that very short texts say little.
+    """
 
     def __init__(self):
         self.known: dict[str, int] = {}
@@ -139,7 +145,7 @@ class Shapes:
         if not words:
             return np.empty(0, np.int64), np.empty(0)
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > 60_000:
             known.clear()
         try:
             ids = np.asarray([known[w] for w in words], np.int64)
@@ -152,7 +158,14 @@ class Shapes:
         mask = (1 << BITS) - 1
         pairs = (ids[:-1] * 31 + ids[1:] * 17 + 7) & mask
         found, counts = np.unique(np.concatenate([ids & mask, pairs]), return_counts=True)
-        return np.append(found, mask + 1), np.append(counts / len(words), 2.0 * same / len(words))
+        size = len(words) + 4
+        return np.append(found, mask + 1), np.append(counts / size, 2.0 * same / size)
+
+
+@lru_cache(maxsize=1)
+def worker_shapes() -> Shapes:
+    """One cache of shapes a worker."""
+    return Shapes()
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, rounds: int = 300, rate: float = 2.0, ridge: float = 1e-5) -> np.ndarray:
@@ -183,7 +196,7 @@ class QualityModel:
 
         @F.pandas_udf("pattern string, posterior double, score double, keep boolean")
         def judge(texts: pd.Series) -> pd.DataFrame:
-            shapes, out = Shapes(), []
+            shapes, out = worker_shapes(), []
             for t in texts:
                 found, values = shapes.of(t)
                 out.append((votes(t), float(1 / (1 + np.exp(-np.clip(values @ weights[found] + weights[-1], -50, 50))))))
@@ -197,6 +210,8 @@ class QualityModel:
 def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
     """Label model from the votes on all documents; scorer from the posteriors of ``sample`` of them."""
 
+    scratch.bound_batches(docs.sparkSession)
+
     @F.pandas_udf("string")
     def voted(texts: pd.Series) -> pd.Series:
         return pd.Series([pattern(votes(t)) for t in texts])
@@ -209,7 +224,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
 
     @F.pandas_udf("pattern string, cols array<long>, vals array<double>")
     def features(texts: pd.Series) -> pd.DataFrame:
-        shapes = Shapes()
+        shapes = worker_shapes()
         found = [shapes.of(t) for t in texts]
         return pd.DataFrame({"pattern": [pattern(votes(t)) for t in texts], "cols": [c for c, _ in found], "vals": [v for _, v in found]})
 

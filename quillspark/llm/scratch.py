@@ -61,6 +61,14 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
+def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let Arrow batches hold no more than ``rows`` rows from here on: texts are long, and a batch is held several times over in a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def clear(spark: SparkSession) -> None:
     """Remove everything that this session wrote to the shared folder."""
     _delete(spark, root(spark))

@@ -8,8 +8,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Words whose ids a worker keeps; beyond that the cache starts anew.
-CACHE_WORDS = 700_000
+#: Words whose ids a worker keeps: two generations of half as many.
+CACHE_WORDS = 500_000
 
 
 def vocabulary(name: str) -> str:
@@ -34,11 +34,12 @@ class WordCachedTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = False
         self.cache: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, 4 bytes each."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {"": b""}
+        if len(self.cache) > CACHE_WORDS // 2:
+            self.cache, self.older = {"": b""}, self.cache
         out, cache = [], self.cache
         cut = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if x else [] for x in texts]
         fresh = {w for words in cut for w in words if w not in cache}
@@ -49,7 +50,12 @@ class WordCachedTokenizer:
         return out
 
     def learn(self, fresh: set[str]) -> None:
-        cache = self.cache
+        cache, older = self.cache, self.older
+        if older:
+            # Words of the generation before come back without the tokenizer.
+            met = [w for w in fresh if w in older]
+            cache.update((w, older[w]) for w in met)
+            fresh = fresh.difference(met)
         # A plain word before one stop or comma has the ids of both; ASCII capitals are folded by the tokenizer.
         plain, stops = set(), {".", ","} - cache.keys()
         for w in fresh:
@@ -59,7 +65,12 @@ class WordCachedTokenizer:
             else:
                 plain.add(w[:-1] if w[-1] in ".," and w[:-1].isalpha() else w)
         plain |= stops
-        todo = [w for w in plain if w not in cache]
+        todo = []
+        for w in plain:
+            if w in older:
+                cache[w] = older[w]
+            elif w not in cache:
+                todo.append(w)
         for at in range(0, len(todo), 4096):
             part = todo[at : at + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
