@@ -16,10 +16,17 @@ from ..functions import text as T
 K1, B, DELTA = 1.5, 0.75, 0.5
 
 
-def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, term, tf, dl): occurrences of each term, with the document's length."""
-    cut = docs.select(key, T.tokens(text).alias("__t")).withColumn("dl", F.size("__t").cast("long"))
-    return cut.select(key, "dl", F.explode("__t").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+def postings(docs: DataFrame, key: str, text: Column, terms: DataFrame | None = None) -> DataFrame:
+    """(key, term, tf, dl): occurrences of each term, or of some, with the document's length.
+
+    Terms are met before the count, so only their occurrences are shuffled.
+    """
+    cut = docs.select(key, T.tokens(text).alias("__t"))
+    # explode_outer: the size filter that explode() infers would cut the text a second time.
+    rows = cut.select(key, F.size("__t").cast("long").alias("dl"), F.explode_outer("__t").alias("term")).where("term is not null")
+    if terms is not None:
+        rows = rows.join(terms, "term")
+    return rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
 def corpus_stats(docs: DataFrame, text: Column) -> DataFrame:
@@ -37,7 +44,7 @@ def bm25l(docs: DataFrame, key: str, text: Column, queries: DataFrame) -> DataFr
     """
     stats = corpus_stats(docs, text)
     terms = queries.select("query_id", F.explode(T.tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    found = postings(docs, key, text).join(terms.select("term").distinct(), "term")
+    found = postings(docs, key, text, terms.select("term").distinct())
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighed = terms.join(df, "term").join(stats).withColumn("idf", F.log(F.col("n") + 1.0) - F.log(F.col("df") + 0.5))
     gain = lambda ctd: F.col("idf") * F.col("qtf") * (K1 + 1) * (ctd + DELTA) / (K1 + ctd + DELTA)
