@@ -38,6 +38,8 @@ from .decontaminate import LOWER, UPPER
 BLANK = r"[\x20\x09-\x0D]+"
 #: Longest posting list that is expanded into pairs.
 RARE = 32
+#: Rows of two longs that may be broadcast: 32 MB.
+BROADCAST_ROWS = 2_000_000
 #: Leaders that a list of frequent tokens gets, one after another, before its open pairs are compared one by one.
 LEADERS = 4
 #: Percent of similarity to a leader from which on a node is near, and below which it is far: apart by more than any 1 - t.
@@ -89,7 +91,11 @@ class NgramJoin:
 
     def sets_of(self, nodes: DataFrame) -> DataFrame:
         """(f, sh) of some nodes, from the texts of their representatives."""
-        some = with_shingles(self.docs.join(nodes.select("f", F.col("rep").alias("doc_id")), "doc_id"), self.n)
+        wanted = nodes.select("f", F.col("rep").alias("doc_id"))
+        # So few ids go to the texts; beyond that, ids and texts meet by a shuffle.
+        if nodes.count() <= BROADCAST_ROWS:
+            wanted = F.broadcast(wanted)
+        some = with_shingles(self.docs.join(wanted, "doc_id"), self.n)
         # Tested on the written table: a filter on computed sets would be pushed down and compute them again.
         sets = scratch.stage(some.select("f", F.xxhash64("sh").alias("own"), "sh"), "whole")
         if sets.groupBy("f").count().where("count > 1").take(1):
