@@ -1,8 +1,10 @@
 """Consensus of repeated noisy extractions: greedy clusters, mode, medoid, confidence.
 
 Clustering depends on order (a line joins the first cluster whose first member
-is similar enough), so each page is one ordered group in Python; a page's
-lines are few.  Similarity is difflib's ratio.
+is similar enough), so each page is one ordered group in Python.  Similarity is
+difflib's ratio of the lower-cased texts.  Pages may be long: equal texts are
+met once, and pairs whose letter counts or longest common subsequence already
+bound the ratio by 0.8 are never aligned.  Neither changes a result.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,29 +22,105 @@ SIMILAR = 0.8
 
 
 def ratio(a: str, b: str) -> float:
-    return SequenceMatcher(None, a, b).ratio()
+    a, b = a.lower(), b.lower()
+    return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
+
+
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def letters(text: str) -> np.ndarray:
+    """Counts of a text's letters in 128 bins; letters may share a bin."""
+    return np.bincount(codes(text) & 127, minlength=128).astype(np.int32)
+
+
+class Leaders:
+    """The first texts of clusters, and which of them a text may be similar to.
+
+    Matching blocks take no more letters than both texts have in common, and
+    form a common subsequence; so both bound the ratio from above.  The lengths
+    of the longest common subsequences with all leaders are found in one pass of
+    bit-parallel steps, the leaders side by side with a bit between.
+    """
+
+    def __init__(self):
+        self.texts: list[str] = []
+        self.counts = np.empty((16, 128), np.int32)
+        self.starts: list[int] = []
+        self.bits = self.end = 0
+        self.where: dict[int, int] = {}
+
+    def add(self, text: str, own: np.ndarray) -> None:
+        n, low = len(self.texts), codes(text)
+        if n == len(self.counts):
+            self.counts = np.concatenate([self.counts, np.empty_like(self.counts)])
+        self.counts[n] = own
+        self.texts.append(text)
+        self.starts.append(self.end)
+        for c in np.unique(low).tolist():
+            at = int.from_bytes(np.packbits(low == c, bitorder="little").tobytes(), "little")
+            self.where[c] = self.where.get(c, 0) | at << self.end
+        self.bits |= ((1 << len(low)) - 1) << self.end
+        self.end += len(low) + 1
+
+    def near(self, text: str, own: np.ndarray) -> list[int]:
+        n, size = len(self.texts), int(own.sum())
+        if not size:
+            return [i for i, x in enumerate(self.texts) if not x]
+        sizes = self.counts[:n].sum(1)
+        found = np.flatnonzero(2.0 * np.minimum(self.counts[:n], own).sum(1) / (sizes + size) > SIMILAR).tolist()
+        if not found:
+            return []
+        bits = v = self.bits
+        for c in codes(text).tolist():
+            if u := v & self.where.get(c, 0):
+                v = ((v + u) | (v - u)) & bits
+        missed = bits & ~v
+        return [i for i in found if 2.0 * (missed >> self.starts[i] & ((1 << int(sizes[i])) - 1)).bit_count() / (sizes[i] + size) > SIMILAR]
+
+
+def first_clusters(texts: list[str]) -> list[int]:
+    """Of each text the number of the first cluster whose first text is similar, or of its own new one.
+
+    A text met again joins the same cluster: those before it are as they were.
+    """
+    leaders, known = Leaders(), {}
+    for t in texts:
+        if t in known:
+            continue
+        own = letters(t)
+        known[t] = next((i for i in leaders.near(t, own) if ratio(t, leaders.texts[i]) > SIMILAR), len(leaders.texts))
+        if known[t] == len(leaders.texts):
+            leaders.add(t, own)
+    return [known[t] for t in texts]
+
+
+def medoid(texts: list[str]) -> str:
+    """The text of highest mean similarity to all; the first of equals."""
+    distinct = list(dict.fromkeys(texts))
+    if len(distinct) == 1:
+        return distinct[0]
+    at = {t: i for i, t in enumerate(distinct)}
+    order = np.asarray([at[t] for t in texts])
+    means = [sum(np.asarray([ratio(t, x) for x in distinct])[order].tolist()) / len(texts) for t in distinct]
+    return distinct[max(range(len(distinct)), key=lambda i: (means[i], -i))]
 
 
 def merge_takes(rows: list[tuple[int, int, str, str, float]], takes: int) -> list[tuple]:
     """Consensus lines of (take, position, character, text, confidence): character, text, confidence, match_confidence, members."""
-    clusters: list[list[tuple]] = []
-    for row in sorted(rows):
-        for c in clusters:
-            if ratio(c[0][3], row[3]) > SIMILAR:
-                c.append(row)
-                break
-        else:
-            clusters.append([row])
+    rows = sorted(rows)
+    clusters: dict[int, list[tuple]] = {}
+    for row, i in zip(rows, first_clusters([r[3] for r in rows])):
+        clusters.setdefault(i, []).append(row)
     out = []
-    for c in sorted(clusters, key=lambda c: sum(r[1] for r in c) / len(c)):
+    for c in sorted(clusters.values(), key=lambda c: sum(r[1] for r in c) / len(c)):
         character = Counter(r[2] for r in c).most_common(1)[0][0]
         mode = [r for r in c if r[2] == character]
-        texts = [r[3] for r in c]
-        medoid = max(range(len(texts)), key=lambda i: (sum(ratio(texts[i], t) for t in texts) / len(texts), -i))
         match = len(mode) / takes
         mean = sum(r[4] for r in c) / len(c)
         confidence = 1.0 if len(c) == 1 and takes == 1 else 0.6 * match + 0.4 * mean
-        out.append((character, texts[medoid], confidence, match, len(c)))
+        out.append((character, medoid([r[3] for r in c]), confidence, match, len(c)))
     return out
 
 

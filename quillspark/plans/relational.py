@@ -319,8 +319,8 @@ def prj45(spark, d):
 
 
 def takes(spark, d):
-    """Three noisy readings of a page's words: the second misreads the speaker, the third drops a line."""
-    lines = documents(spark, d).where("n_chars < 900").select(F.col("doc_id").alias("page"), F.posexplode(F.slice(F.split("text", " "), 1, 6)).alias("pos", "text"))
+    """Three noisy readings of all lines of every document: the second misreads the speaker, the third drops a line."""
+    lines = documents(spark, d).select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     three = lines.withColumn("take", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).where("not (take = 2 and pos = 3)")
     who = F.when((F.col("take") == 1) & (F.col("pos") == 1), "other").otherwise(F.concat(F.lit("c"), (F.col("pos") % 2).cast("string")))
     return three.select("page", "take", "pos", who.alias("character"), F.concat("text", F.lit(" said the one")).alias("text"), (F.lit(0.5) + F.col("take") / 10).alias("confidence"))

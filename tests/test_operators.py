@@ -116,6 +116,29 @@ def test_consensus():
     assert out[0][3] == pytest.approx(2 / 3) and out[0][2] == pytest.approx(0.6 * 2 / 3 + 0.4 * 0.8)
 
 
+def test_consensus_of_whole_documents(spark):
+    from difflib import SequenceMatcher
+
+    from quillspark.plans import relational
+
+    docs = {r.doc_id: r.text for r in relational.documents(spark, "/root/testdata/sf0.001").collect()}
+    lines = {(r.page, r.pos): r.text for r in relational.takes(spark, "/root/testdata/sf0.001").where("take = 0").collect()}
+    assert lines == {(i, k): f"{x} said the one" for i, t in docs.items() for k, x in enumerate(t.split("\n"))}
+    assert consensus.ratio("HELLO", "hello") == 1.0
+
+    def plain(texts):
+        leaders, out = [], []
+        for t in texts:
+            out.append(next((i for i, x in enumerate(leaders) if SequenceMatcher(None, t.lower(), x.lower()).ratio() > 0.8), len(leaders)))
+            if out[-1] == len(leaders):
+                leaders.append(t)
+        return out
+
+    for t in list(docs.values())[:12]:
+        texts = [y for x in t.split("\n")[:20] for y in (x, x.upper(), x[: len(x) * 5 // 7], x[::2] + x[len(x) // 2 :], "")]
+        assert consensus.first_clusters(texts) == plain(texts)
+
+
 def test_sampling_is_reproducible_and_weighted(spark):
     df = spark.range(2000).withColumnRenamed("id", "k")
     a = [r.k for r in sampling.sample(df, 30, "s", "k").collect()]
