@@ -136,12 +136,47 @@ def set06(spark, d):
     return s.select("source", F.array_join(F.array_sort(F.array_intersect(need, "l")), ",").alias("both"), F.array_join(F.array_sort(F.array_except(need, "l")), ",").alias("missing"))
 
 
+def missing_positions(rows, key, position, width=1 << 12):
+    """Positions between a key's least and greatest that it has no row for.
+
+    Gaps are found by lead() within blocks of ``width`` positions, so no task
+    orders all positions of a key, and between the edges of the blocks.
+    """
+    have = rows.where(F.col(position).isNotNull()).select(key, F.col(position).cast("long").alias("p")).distinct().withColumn("b", F.floor(F.col("p") / width))
+    inner = have.withColumn("next", F.lead("p").over(W.partitionBy(key, "b").orderBy("p"))).select(key, "p", "next")
+    edges = have.groupBy(key, "b").agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
+    outer = edges.withColumn("next", F.lead("lo").over(W.partitionBy(key).orderBy("b"))).select(key, F.col("hi").alias("p"), "next")
+    return inner.unionByName(outer).where("next > p + 1").select(key, F.explode(F.sequence(F.col("p") + 1, F.col("next") - 1)).alias("missing"))
+
+
 @query("flt25_missing_positions", "SELECT source, r AS missing FROM (SELECT source, unnest(generate_series(min(doc_id), max(doc_id))) AS r FROM documents WHERE doc_id < 300 GROUP BY source) WHERE (source, r) NOT IN (SELECT source, doc_id FROM documents)")
 def flt25(spark, d):
     g = documents(spark, d).where("doc_id < 300").groupBy("source").agg(F.collect_set("doc_id").alias("have"))
     return g.select("source", F.explode(F.array_except(F.sequence(F.array_min("have"), F.array_max("have")), "have")).alias("missing"))
 
 
+@query("flt13_exact_character_set_whole", "SELECT source FROM documents GROUP BY source HAVING count(DISTINCT lang) = 2 AND bool_or(lang = 'en')")
+def flt13_whole(spark, d):
+    """flt13 over all rows."""
+    sets = documents(spark, d).groupBy("source").agg(F.collect_set("lang").alias("s"))
+    return sets.where((F.size("s") == 2) & F.array_contains("s", "en")).select("source")
+
+
+@query("set06_set_algebra_whole", """WITH s AS (SELECT source, list_sort(list_distinct(list(lang))) AS l FROM documents GROUP BY source)
+SELECT source, array_to_string(list_filter(['de', 'en', 'it'], lambda x: list_contains(l, x)), ',') AS both, array_to_string(list_filter(['de', 'en', 'it'], lambda x: NOT list_contains(l, x)), ',') AS missing FROM s""")
+def set06_whole(spark, d):
+    """set06 over all rows."""
+    need = F.array(F.lit("de"), F.lit("en"), F.lit("it"))
+    s = documents(spark, d).groupBy("source").agg(F.collect_set("lang").alias("l"))
+    return s.select("source", F.array_join(F.array_sort(F.array_intersect(need, "l")), ",").alias("both"), F.array_join(F.array_sort(F.array_except(need, "l")), ",").alias("missing"))
+
+
+@query("flt25_missing_positions_whole", "SELECT source, r AS missing FROM (SELECT source, unnest(generate_series(min(doc_id), max(doc_id))) AS r FROM documents GROUP BY source) WHERE (source, r) NOT IN (SELECT source, doc_id FROM documents)")
+def flt25_whole(spark, d):
+    """flt25 over all rows."""
+    return missing_positions(documents(spark, d), "source", "doc_id")
+
+
 @query("top10_sample", f"SELECT doc_id FROM documents ORDER BY {U.format('s1', 'doc_id')}, doc_id LIMIT 50")
 def top10(spark, d):
     """Also TOP13: the order of the sample is the shuffle."""

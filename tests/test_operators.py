@@ -139,6 +139,20 @@ def test_consensus_of_whole_documents(spark):
         assert consensus.first_clusters(texts) == plain(texts)
 
 
+def test_sets_and_gaps_of_all_rows(spark, tmp_path):
+    from quillspark.plans import registry, retrieval
+
+    rows = [(1, "a", "en"), (5000, "a", "fr"), (5003, "a", "fr"), (9000, "b", "en"), (2, "c", "de"), (301, "c", "en"), (302, "c", "it")]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: sorted(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).collect()))
+    assert run("flt13_exact_character_set_whole") == [("a",)]
+    assert run("set06_set_algebra_whole") == [("a", "en", "de,it"), ("b", "en", "de,it"), ("c", "de,en,it", "")]
+    gaps = [("a", i) for i in range(2, 5003) if i != 5000] + [("c", i) for i in range(3, 301)]
+    assert run("flt25_missing_positions_whole") == gaps
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, retrieval.missing_positions(docs, "source", "doc_id", 3).collect())) == gaps
+
+
 def test_sampling_is_reproducible_and_weighted(spark):
     df = spark.range(2000).withColumnRenamed("id", "k")
     a = [r.k for r in sampling.sample(df, 30, "s", "k").collect()]
