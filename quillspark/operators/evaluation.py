@@ -41,6 +41,14 @@ def triplets(scored: DataFrame) -> DataFrame:
     )
 
 
+def memory_handling(scored: DataFrame) -> DataFrame:
+    """Mean judge score and count of all traces of a variant C that have one, beside the triplet figures (AGG06)."""
+    last = F.col("prompt_id").endswith("-C") & F.col("score").isNotNull()
+    c = scored.agg(mean(F.when(last, F.col("score"))).alias("mean_score"), F.count_if(last).alias("n"))
+    # One row each.
+    return c.crossJoin(F.broadcast(triplets(scored)))
+
+
 def stability(scored: DataFrame) -> DataFrame:
     """Turns with a score above 2 over all scored turns, pooled (AGG07)."""
     values = F.map_values("sub_scores")
@@ -78,6 +86,19 @@ def extraction_score(predicted: Column, gold: Column) -> Column:
     return F.when(predicted == gold, F.lit(1.0)).otherwise(F.coalesce(same / F.nullif(F.greatest(F.size(predicted), F.size(gold)), F.lit(0)), F.lit(0.0)))
 
 
+def extraction_parts(predicted: Column, gold: Column) -> Column:
+    """Score of two arrays of structs (character, text), the mean of four parts: equal length, equal character set, shares of equal texts and of equal characters over the gold length; 1 for equal arrays (AGG30).
+
+    No lines where the other array has some share nothing: the reference divides by zero there.
+    """
+    n = F.nullif(F.size(gold), F.lit(0))
+    pairs = F.slice(F.arrays_zip(predicted.alias("p"), gold.alias("g")), F.lit(1), F.least(F.size(predicted), F.size(gold)))
+    share = lambda field: F.coalesce(F.size(F.filter(pairs, lambda z: z.p[field].eqNullSafe(z.g[field]))) / n, F.lit(0.0))
+    names = lambda lines: F.array_sort(F.array_distinct(F.transform(lines, lambda x: x.character)))
+    parts = (F.size(predicted) == F.size(gold)).cast("int") + (names(predicted) == names(gold)).cast("int") + share("text") + share("character")
+    return F.when(predicted == gold, F.lit(1.0)).otherwise(parts / 4)
+
+
 def diff_label(p_name: Column, p_text: Column, g_name: Column, g_text: Column) -> Column:
     """What a positional comparison says of one line (PRJ48)."""
     return (

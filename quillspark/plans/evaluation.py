@@ -61,6 +61,16 @@ def agg06(spark, d):
     return evaluation.triplets(s).withColumn("pass_rate", F.round("pass_rate", 6))
 
 
+@query("agg06_memory_handling", f"""WITH {SCORED}, a AS (SELECT doc_id, (doc_id // 4) AS base, ['A', 'B', 'C', 'B'][doc_id % 4 + 1] AS variant, coalesce(pass, false) AS pass, score FROM s),
+l AS (SELECT base, variant, arg_max(pass, doc_id) AS pass FROM a GROUP BY ALL), w AS (SELECT base, count(*) AS k, bool_and(pass) FILTER (variant IN ('A', 'B')) AS ok FROM l GROUP BY base)
+SELECT (SELECT round(coalesce(avg(score), 0.0), 6) FROM a WHERE variant = 'C') AS mean_score, (SELECT count(*) FROM a WHERE variant = 'C') AS n, count(*) AS triplets, round(coalesce(avg(ok::int), 0.0), 6) AS pass_rate FROM w WHERE k = 3""")
+def agg06_memory(spark, d):
+    """agg06 over all rows, with the scores of variant C."""
+    variant = F.element_at(F.array(*map(F.lit, "ABCB")), (F.col("doc_id") % 4 + 1).cast("int"))
+    s = scored(spark, d).withColumn("prompt_id", F.concat(F.lit("mem-"), F.floor(F.col("doc_id") / 4).cast("string"), F.lit("-"), variant))
+    return evaluation.memory_handling(s).withColumns({"mean_score": F.round("mean_score", 6), "pass_rate": F.round("pass_rate", 6)})
+
+
 @query("agg07_stability", "SELECT (SELECT count(*) FROM documents) AS conversations, count(*) AS turns, round(avg(((n_chars + i) % 5 + 1 > 2)::int), 6) AS mean_score FROM (SELECT n_chars, unnest(generate_series(0, doc_id % 4)) AS i FROM documents)")
 def agg07(spark, d):
     return evaluation.stability(scored(spark, d)).withColumn("mean_score", F.round("mean_score", 6))
@@ -118,6 +128,23 @@ def agg30(spark, d):
     return table(spark, d, "documents").select("doc_id", p.alias("p"), g.alias("g")).select("doc_id", F.round(evaluation.extraction_score(F.col("p"), F.col("g")), 6).alias("score"))
 
 
+WHOLE_LISTS = """SELECT doc_id, list_transform(range(1, len(x) + 1), lambda i: {'c': 'c' || (i % 2), 't': x[i]}) AS p,
+list_transform(range(1, len(x) + 1 - CASE WHEN doc_id % 5 = 1 AND len(x) > 1 THEN 1 ELSE 0 END), lambda i: {'c': CASE WHEN doc_id % 3 = 1 AND i % 4 = 1 THEN 'other' ELSE 'c' || (i % 2) END, 't': CASE WHEN doc_id % 7 > 4 AND i % 3 = 1 THEN 'x' ELSE x[i] END}) AS g FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)"""
+
+
+@query("agg30_four_parts", f"""SELECT doc_id, CASE WHEN p = g THEN 1.0::DOUBLE ELSE round(((len(p) = len(g))::int + (list_sort(list_distinct(list_transform(p, lambda z: z.c))) = list_sort(list_distinct(list_transform(g, lambda z: z.c))))::int
++ len(list_filter(range(1, least(len(p), len(g)) + 1), lambda i: p[i].t = g[i].t))::DOUBLE / len(g) + len(list_filter(range(1, least(len(p), len(g)) + 1), lambda i: p[i].c = g[i].c))::DOUBLE / len(g)) / 4, 6) END AS score FROM ({WHOLE_LISTS})""")
+def agg30_parts(spark, d):
+    """agg30 by the reference's four parts, over all lines of a text; every few lines of the gold ones differ."""
+    i = F.col("doc_id")
+    lines = F.split("text", "\n")
+    p = F.transform(lines, lambda x, k: F.struct(F.concat(F.lit("c"), ((k + 1) % 2).cast("string")).alias("character"), x.alias("text")))
+    changed = F.transform("p", lambda x, k: F.struct(F.when((i % 3 == 1) & (k % 4 == 0), "other").otherwise(x.character).alias("character"), F.when((i % 7 > 4) & (k % 3 == 0), "x").otherwise(x.text).alias("text")))
+    g = F.slice(changed, F.lit(1), F.size("p") - F.when((i % 5 == 1) & (F.size("p") > 1), 1).otherwise(0))
+    rows = table(spark, d, "documents").select("doc_id", p.alias("p")).withColumn("g", g)
+    return rows.select("doc_id", F.round(evaluation.extraction_parts(F.col("p"), F.col("g")), 6).alias("score"))
+
+
 @query("agg31_weighted_score", "SELECT doc_id, round((2.0 * quality + toxic) / 3.0, 6)::DOUBLE AS score FROM labels")
 def agg31(spark, d):
     return table(spark, d, "labels").select("doc_id", F.round((2.0 * F.col("quality") + F.col("toxic")) / 3.0, 6).alias("score"))

@@ -153,6 +153,20 @@ def test_sets_and_gaps_of_all_rows(spark, tmp_path):
     assert sorted(map(tuple, retrieval.missing_positions(docs, "source", "doc_id", 3).collect())) == gaps
 
 
+def test_extraction_parts_and_memory_handling(spark):
+    line = "array<struct<character:string,text:string>>"
+    rows = [
+        ([("a", "x"), ("b", "y")], [("a", "x"), ("b", "y")], 1.0), ([("a", "x"), ("b", "z")], [("a", "x"), ("b", "y")], 0.875),
+        ([("a", "x")], [("a", "x"), ("b", "y")], 0.25), ([("b", "y"), ("a", "x"), ("c", "z")], [("a", "x"), ("b", "y")], 0.0), ([], [("a", "x")], 0.0), ([("a", "x")], [], 0.0), ([], [], 1.0),
+    ]
+    df = spark.createDataFrame(rows, f"p {line}, g {line}, want double")
+    assert all(r.got == r.want for r in df.select(evaluation.extraction_parts(F.col("p"), F.col("g")).alias("got"), "want").collect())
+    rows = [("m-1-A", True, None), ("m-1-B", True, None), ("m-1-C", None, 4.0), ("m-2-C", None, 1.0), ("m-3-C", None, None)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "prompt_id string, pass boolean, score double, seq int")
+    assert tuple(evaluation.memory_handling(df).first()) == (2.5, 2, 1, 1.0)
+    assert tuple(evaluation.memory_handling(df.limit(0)).first()) == (0.0, 0, 0, 0.0)
+
+
 def test_sampling_is_reproducible_and_weighted(spark):
     df = spark.range(2000).withColumnRenamed("id", "k")
     a = [r.k for r in sampling.sample(df, 30, "s", "k").collect()]
