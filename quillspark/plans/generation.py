@@ -68,7 +68,7 @@ def udf02(spark, d):
 @query("udf08_compact_memories")
 def udf08(spark, d):
     """Also UDF11: a group's rows rendered in order, then one generation a group."""
-    docs = table(spark, d, "documents").withColumn("line", F.concat(F.lit("- "), F.left("text", F.lit(30))))
+    docs = table(spark, d, "documents").withColumn("line", F.concat(F.lit("- "), F.col("text")))
     bank = docs.groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "line"))), lambda x: x.line), "\n").alias("bank"))
     return bank.select("source", B.generate(B.RuleJudge("memory"), F.lit("Compact."), F.col("bank")).alias("r")).select("source", "r.text")
 

@@ -37,6 +37,13 @@ def src04(spark, d):
     return readers.memory_bank(spark, written(spark, rows))
 
 
+@query("src04_memory_bank_whole", "SELECT CAST(doc_id AS VARCHAR) AS key, text AS value, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE doc_id % 50 END AS days_ago FROM documents")
+def src04_whole(spark, d):
+    """src04 with whole texts."""
+    rows = documents(spark, d).select(F.col("doc_id").cast("string").alias("key"), F.col("text").alias("value"), F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 50).alias("days_ago"))
+    return readers.memory_bank(spark, written(spark, rows))
+
+
 @query("src05_suite_partitions", "SELECT 'p-' || doc_id AS prompt_id, lang AS suite FROM documents WHERE lang IN ('en', 'fr')")
 def src05(spark, d):
     """Also SRC07 and SNK04: a folder for each suite; the filter prunes partitions."""
@@ -78,6 +85,14 @@ def src18(spark, d):
     return readers.csv_json(spark, path, {"cell": "lang string, head string"}, "doc_id long, cell string").select("doc_id", "cell.*")
 
 
+@query("src18_csv_json_cells_whole", "SELECT doc_id, lang, text, text AS plain FROM documents")
+def src18_whole(spark, d):
+    """src18 with whole texts, in a JSON cell and in a plain one of many lines."""
+    path = workspace.fresh(spark, "csv")
+    sinks.csv_json(documents(spark, d).select("doc_id", F.struct("lang", "text").alias("cell"), F.col("text").alias("plain")), path)
+    return readers.csv_json(spark, path, {"cell": "lang string, text string"}, "doc_id long, cell string, plain string").select("doc_id", "cell.*", "plain")
+
+
 @query("src23_parquet_round_trip", "SELECT doc_id, text FROM documents WHERE lang = 'de'")
 def src23(spark, d):
     """Also SNK08."""
@@ -335,7 +350,8 @@ def jon18(spark, d):
 
 @query("agg20_similarity")
 def agg20(spark, d):
-    t = documents(spark, d).select("doc_id", F.left("text", F.lit(40)).alias("a"), F.substring("text", 11, 40).alias("b"))
+    """Each whole text against the same without its first ten characters."""
+    t = documents(spark, d).select("doc_id", F.col("text").alias("a"), F.expr("substring(text, 11)").alias("b"))
     return t.select("doc_id", F.round(consensus.similarity(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 

@@ -25,9 +25,9 @@ def fan_out(df: DataFrame, everything: str, passing: str, ok: str) -> None:
 
 
 def csv_json(df: DataFrame, path: str) -> None:
-    """CSV with all cells quoted; nested ones as JSON (SNK06, SNK07)."""
+    """CSV with all cells quoted; nested ones as JSON; blanks at the ends of cells stay (SNK06, SNK07)."""
     cells = [F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes]
-    df.select(*cells).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    df.select(*cells).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def version(df: DataFrame, path: str, number: int, keep: int = 3) -> None:

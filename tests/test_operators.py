@@ -167,6 +167,22 @@ def test_extraction_parts_and_memory_handling(spark):
     assert tuple(evaluation.memory_handling(df.limit(0)).first()) == (0.0, 0, 0, 0.0)
 
 
+def test_whole_texts_are_carried(spark, tmp_path):
+    from difflib import SequenceMatcher
+
+    from quillspark.plans import registry
+
+    long = "The first line, \"quoted\".\n\n" + " ".join(f"word{i % 97}" for i in range(600))
+    texts = [long, long + "\nlast, line\n", "  led by blanks and \\ slashes  ", "one\r\ntwo", "short"]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
+    want = {i: round(SequenceMatcher(None, t.lower(), t[10:].lower()).ratio(), 6) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.ratio for r in run("agg20_similarity")} == want
+    assert {r.doc_id: (r.text, r.plain) for r in run("src18_csv_json_cells_whole")} == {i: (t, t) for i, t in enumerate(texts)}
+    assert {r.key: r.value for r in run("src04_memory_bank_whole")} == {str(i): t for i, t in enumerate(texts)}
+    assert f"{len(' '.join('- ' + t for t in texts).split())} words" in run("udf08_compact_memories")[0].text
+
+
 def test_sampling_is_reproducible_and_weighted(spark):
     df = spark.range(2000).withColumnRenamed("id", "k")
     a = [r.k for r in sampling.sample(df, 30, "s", "k").collect()]
