@@ -46,7 +46,7 @@ def judged(spark, d):
 
 @query("udf01_judge")
 def udf01(spark, d):
-    """Also UDF07, UDF10 and UDF13: a deterministic judge behind the generation function."""
+    """Also UDF13: a deterministic judge behind the generation function."""
     out = judged(spark, d).select("conv_id", "turn", F.from_json(T.strip_fences("r.text"), "score long, justification string").alias("j"))
     return out.select("conv_id", "turn", "j.*")
 
@@ -58,7 +58,7 @@ def remember(key: str, value: str) -> str:
 
 @query("udf02_tool_loop", "SELECT conv_id, 'done' AS text, 2 AS calls, 'stored k=v' AS first FROM conversations WHERE turn = 0")
 def udf02(spark, d):
-    """Also UDF05 and UDF09: tools are served until a plain text comes; an unknown tool gives an error text."""
+    """Also UDF05: tools are served until a plain text comes; an unknown tool gives an error text."""
     script = B.Scripted([B.Reply(calls=[("remember", {"key": "k", "value": "v"})]), B.Reply(calls=[("nope", {})]), B.Reply("done")])
     turns = table(spark, d, "conversations").where("turn = 0")
     r = turns.withColumn("r", B.generate(script, F.lit(""), F.col("text"), B.Tools({"remember": remember})))
@@ -67,7 +67,7 @@ def udf02(spark, d):
 
 @query("udf08_compact_memories")
 def udf08(spark, d):
-    """Also UDF11: a group's rows rendered in order, then one generation a group."""
+    """A group's rows rendered in order, then one generation a group."""
     docs = table(spark, d, "documents").withColumn("line", F.concat(F.lit("- "), F.col("text")))
     bank = docs.groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "line"))), lambda x: x.line), "\n").alias("bank"))
     return bank.select("source", B.generate(B.RuleJudge("memory"), F.lit("Compact."), F.col("bank")).alias("r")).select("source", "r.text")
@@ -99,7 +99,7 @@ def snk11(spark, d):
 
 @query("itr05_token_budget", "SELECT doc_id, CASE WHEN n <= 100 THEN n ELSE NULL END AS short FROM (SELECT doc_id, len(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) * 13 // 10 AS n FROM documents)")
 def itr05(spark, d):
-    """Also ITR06: texts within the budget are left alone."""
+    """Texts within the budget are left alone."""
     docs = table(spark, d, "documents").withColumn("before", T.token_estimate("text"))
     half = lambda c: F.left(c, F.floor(F.length(c) / 2).cast("int"))
     out = versions.condense_to_budget(docs, "text", 100, half)

@@ -319,7 +319,6 @@ def prj35(spark, d):
 
 @query("prj32_compact")
 def prj32(spark, d):
-    """Also PRJ31."""
     lines = documents(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return markdown.compact(lines, "doc_id", "pos", "line", 50, 800)
 
