@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from functools import reduce
+from itertools import islice
 from operator import or_
 
 import numpy as np
@@ -69,7 +70,7 @@ class TextModel:
 
     def evidence(self, text: str | None) -> np.ndarray | None:
         """Tempered log-likelihoods, or None for a text in none of the languages."""
-        if not self.languages or not text or sum(map(str.isalpha, text[: 1 << 16])) < MIN_LETTERS:
+        if not self.languages or not text or sum(1 for _ in islice(filter(str.isalpha, text), MIN_LETTERS)) < MIN_LETTERS:
             return None
         bins = trigrams(text)
         logs = np.zeros(len(self.languages))

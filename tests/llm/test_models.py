@@ -111,6 +111,12 @@ def test_language_edges(spark):
     assert language.keep_identified(known).columns == known.columns
 
 
+def test_letters_are_sought_in_the_whole_text():
+    model = language.TextModel(["en"], np.full((language.BINS, 1), -1.0, np.float32), -10.0)
+    assert model.evidence("1 " * 40_000 + "the of and thing") is not None
+    assert model.evidence("1 " * 40_000 + "the") is None
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source").collect()]
