@@ -80,12 +80,6 @@ def tool_check(calls: Column, expected: Column) -> Column:
     return F.when(expected == "wiki", F.arrays_overlap(calls, wiki)).when(expected == "delegate", F.array_contains(calls, "delegate")).when(expected == "none", F.size(calls) == 0)
 
 
-def extraction_score(predicted: Column, gold: Column) -> Column:
-    """1 for equal lists, else the share of equal positions over the longer one (AGG30, JON19)."""
-    same = F.size(F.filter(F.arrays_zip(predicted.alias("p"), gold.alias("g")), lambda z: z.p == z.g))
-    return F.when(predicted == gold, F.lit(1.0)).otherwise(F.coalesce(same / F.nullif(F.greatest(F.size(predicted), F.size(gold)), F.lit(0)), F.lit(0.0)))
-
-
 def extraction_parts(predicted: Column, gold: Column) -> Column:
     """Score of two arrays of structs (character, text), the mean of four parts: equal length, equal character set, shares of equal texts and of equal characters over the gold length; 1 for equal arrays (AGG30).
 

@@ -51,16 +51,6 @@ def agg05(spark, d):
     return t.select(F.round("mean_score", 6).alias("mean_score"), "n", F.round("accuracy", 6).alias("accuracy"))
 
 
-@query("agg06_triplets", """WITH a AS (SELECT doc_id, (doc_id // 4) AS base, ['A', 'B', 'C', 'B'][doc_id % 4 + 1] AS variant, toxic = 0 AS pass FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id % 11 <> 0),
-l AS (SELECT base, variant, arg_max(coalesce(pass, false), doc_id) AS pass FROM a GROUP BY ALL), w AS (SELECT base, count(*) FILTER (variant IN ('A', 'B', 'C')) AS k, bool_and(pass) FILTER (variant IN ('A', 'B')) AS ok FROM l GROUP BY base)
-SELECT count(*) AS triplets, round(coalesce(avg(ok::int), 0.0), 6) AS pass_rate FROM w WHERE k = 3""")
-def agg06(spark, d):
-    s = scored(spark, d).where("doc_id % 11 <> 0")
-    variant = F.element_at(F.array(*map(F.lit, "ABCB")), (F.col("doc_id") % 4 + 1).cast("int"))
-    s = s.withColumn("prompt_id", F.concat(F.lit("mem-"), F.floor(F.col("doc_id") / 4).cast("string"), F.lit("-"), variant))
-    return evaluation.triplets(s).withColumn("pass_rate", F.round("pass_rate", 6))
-
-
 @query("agg06_memory_handling", f"""WITH {SCORED}, a AS (SELECT doc_id, (doc_id // 4) AS base, ['A', 'B', 'C', 'B'][doc_id % 4 + 1] AS variant, coalesce(pass, false) AS pass, score FROM s),
 l AS (SELECT base, variant, arg_max(pass, doc_id) AS pass FROM a GROUP BY ALL), w AS (SELECT base, count(*) AS k, bool_and(pass) FILTER (variant IN ('A', 'B')) AS ok FROM l GROUP BY base)
 SELECT (SELECT round(coalesce(avg(score), 0.0), 6) FROM a WHERE variant = 'C') AS mean_score, (SELECT count(*) FROM a WHERE variant = 'C') AS n, count(*) AS triplets, round(coalesce(avg(ok::int), 0.0), 6) AS pass_rate FROM w WHERE k = 3""")
@@ -117,22 +107,11 @@ def agg29(spark, d):
     return scored(spark, d).agg(F.count("*").alias("total"), F.round(F.avg(s), 6).alias("mean"), F.min(s).alias("lo"), F.max(s).alias("hi"), F.count_if(s >= 4).alias("high"), F.count_if((s >= 2.5) & (s < 4)).alias("medium"), F.count_if(s < 2.5).alias("low"))
 
 
-LISTS = "SELECT doc_id, string_split(text, ' ')[1:4] AS p, CASE WHEN doc_id % 3 = 0 THEN string_split(text, ' ')[1:4] ELSE string_split(text, ' ')[1:doc_id % 3] || ['x', 'y'] END AS g FROM documents"
-
-
-@query("agg30_extraction_score", f"SELECT doc_id, CASE WHEN p = g THEN 1.0 ELSE round(len(list_filter(range(1, greatest(len(p), len(g)) + 1), lambda i: p[i] = g[i]))::DOUBLE / greatest(len(p), len(g)), 6) END AS score FROM ({LISTS})")
-def agg30(spark, d):
-    """Also JON19."""
-    p = F.slice(F.split("text", " "), 1, 4)
-    g = F.when(F.col("doc_id") % 3 == 0, p).otherwise(F.concat(F.slice(F.split("text", " "), F.lit(1), (F.col("doc_id") % 3).cast("int")), F.array(F.lit("x"), F.lit("y"))))
-    return table(spark, d, "documents").select("doc_id", p.alias("p"), g.alias("g")).select("doc_id", F.round(evaluation.extraction_score(F.col("p"), F.col("g")), 6).alias("score"))
-
-
 WHOLE_LISTS = """SELECT doc_id, list_transform(range(1, len(x) + 1), lambda i: {'c': 'c' || (i % 2), 't': x[i]}) AS p,
 list_transform(range(1, len(x) + 1 - CASE WHEN doc_id % 5 = 1 AND len(x) > 1 THEN 1 ELSE 0 END), lambda i: {'c': CASE WHEN doc_id % 3 = 1 AND i % 4 = 1 THEN 'other' ELSE 'c' || (i % 2) END, 't': CASE WHEN doc_id % 7 > 4 AND i % 3 = 1 THEN 'x' ELSE x[i] END}) AS g FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)"""
 
 
-@query("agg30_four_parts", f"""SELECT doc_id, CASE WHEN p = g THEN 1.0::DOUBLE ELSE round(((len(p) = len(g))::int + (list_sort(list_distinct(list_transform(p, lambda z: z.c))) = list_sort(list_distinct(list_transform(g, lambda z: z.c))))::int
+@query("agg30_extraction_score", f"""SELECT doc_id, CASE WHEN p = g THEN 1.0::DOUBLE ELSE round(((len(p) = len(g))::int + (list_sort(list_distinct(list_transform(p, lambda z: z.c))) = list_sort(list_distinct(list_transform(g, lambda z: z.c))))::int
 + len(list_filter(range(1, least(len(p), len(g)) + 1), lambda i: p[i].t = g[i].t))::DOUBLE / len(g) + len(list_filter(range(1, least(len(p), len(g)) + 1), lambda i: p[i].c = g[i].c))::DOUBLE / len(g)) / 4, 6) END AS score FROM ({WHOLE_LISTS})""")
 def agg30_parts(spark, d):
     """agg30 by the reference's four parts, over all lines of a text; every few lines of the gold ones differ."""

@@ -27,19 +27,9 @@ def written(spark, df, label="rows", append_twice=False):
     return path
 
 
-MEMORY_SQL = "SELECT CAST(doc_id AS VARCHAR) AS key, left(text, 20) AS value, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE doc_id % 50 END AS days_ago FROM documents"
-
-
-@query("src04_memory_bank", MEMORY_SQL)
+@query("src04_memory_bank", "SELECT CAST(doc_id AS VARCHAR) AS key, text AS value, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE doc_id % 50 END AS days_ago FROM documents")
 def src04(spark, d):
-    """Also SRC01-SRC03 and SNK01: strict JSON lines, written and read back, a missing age is 0."""
-    rows = documents(spark, d).select(F.col("doc_id").cast("string").alias("key"), F.left("text", F.lit(20)).alias("value"), F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 50).alias("days_ago"))
-    return readers.memory_bank(spark, written(spark, rows))
-
-
-@query("src04_memory_bank_whole", "SELECT CAST(doc_id AS VARCHAR) AS key, text AS value, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE doc_id % 50 END AS days_ago FROM documents")
-def src04_whole(spark, d):
-    """src04 with whole texts."""
+    """Strict JSON lines, written and read back; a missing age is 0."""
     rows = documents(spark, d).select(F.col("doc_id").cast("string").alias("key"), F.col("text").alias("value"), F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 50).alias("days_ago"))
     return readers.memory_bank(spark, written(spark, rows))
 
@@ -76,18 +66,9 @@ def src12(spark, d):
     return readers.page_numbers(documents(spark, d).select("doc_id", moved.alias("path"))).select("doc_id", "issue", "page_num")
 
 
-@query("src18_csv_json_cells", "SELECT doc_id, lang, left(replace(text, chr(10), ' '), 30) AS head FROM documents")
+@query("src18_csv_json_cells", "SELECT doc_id, lang, text, text AS plain FROM documents")
 def src18(spark, d):
-    """Also SNK06 and SNK07: quoted CSV whose cells hold JSON."""
-    path = workspace.fresh(spark, "csv")
-    head = F.left(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(30))
-    sinks.csv_json(documents(spark, d).select("doc_id", F.struct("lang", head.alias("head")).alias("cell")), path)
-    return readers.csv_json(spark, path, {"cell": "lang string, head string"}, "doc_id long, cell string").select("doc_id", "cell.*")
-
-
-@query("src18_csv_json_cells_whole", "SELECT doc_id, lang, text, text AS plain FROM documents")
-def src18_whole(spark, d):
-    """src18 with whole texts, in a JSON cell and in a plain one of many lines."""
+    """Quoted CSV with whole texts in a JSON cell and in a plain one of many lines."""
     path = workspace.fresh(spark, "csv")
     sinks.csv_json(documents(spark, d).select("doc_id", F.struct("lang", "text").alias("cell"), F.col("text").alias("plain")), path)
     return readers.csv_json(spark, path, {"cell": "lang string, text string"}, "doc_id long, cell string, plain string").select("doc_id", "cell.*", "plain")

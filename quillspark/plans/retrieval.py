@@ -22,8 +22,8 @@ def documents(spark, d):
 SELECT term, count(DISTINCT doc_id) AS df, round(ln(any_value(n.n) + 1.0) - ln(count(DISTINCT doc_id) + 0.5), 6) AS idf FROM p, n GROUP BY term""")
 def agg35(spark, d):
     docs = documents(spark, d)
-    df = search.postings(docs, "doc_id", F.col("text")).groupBy("term").agg(F.count("*").alias("df"))
-    return df.join(F.broadcast(search.corpus_stats(docs, F.col("text")))).select("term", "df", F.round(F.log(F.col("n") + 1.0) - F.log(F.col("df") + 0.5), 6).alias("idf"))
+    df = search.document_frequency(docs, F.col("text"))
+    return df.join(F.broadcast(docs.agg(F.count("*").alias("n")))).select("term", "df", F.round(F.log(F.col("n") + 1.0) - F.log(F.col("df") + 0.5), 6).alias("idf"))
 
 
 BM25 = f"""WITH q AS (SELECT * FROM (VALUES (0, 'the'), (0, 'of'), (1, 'le'), (1, 'la'), (1, 'les'), (1, 'la'), (2, 'zzzz'), (2, 'qqqq'), (3, 'der'), (3, 'und'), (3, 'zzzz')) t(query_id, term)),
@@ -49,7 +49,8 @@ def jon17(spark, d):
 @query("top01_bm25l_top5", BM25 + ", r AS (SELECT query_id, doc_id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 8) DESC, doc_id DESC) AS rank FROM sc) SELECT CAST(query_id AS BIGINT) AS query_id, rank, doc_id, score FROM r WHERE rank <= 5 AND score > 0")
 def top01(spark, d):
     """Also TOP02 and UDF05: the search over any text column; ties go to the later document, the cut comes before score > 0."""
-    best = search.best(scored(spark, d), 5, F.desc(F.round("score", 8)), F.desc("doc_id"), group=["query_id"])
+    queries = spark.createDataFrame(SEARCH, "query_id int, query string")
+    best = search.bm25l_best(documents(spark, d), "doc_id", F.col("text"), queries, 5)
     return best.where("score > 0").select(F.col("query_id").cast("long").alias("query_id"), "rank", "doc_id", F.round("score", 4).alias("score"))
 
 
@@ -60,8 +61,8 @@ def _count(col, w):
 @query("top03_keyword_search", f"""WITH s AS (SELECT doc_id, {_count('lower(text)', 'tion')} + 5 * {_count('lower(source)', 'tion')} + {_count('lower(text)', 'der')} + 5 * {_count('lower(source)', 'der')} + {_count('lower(text)', 'src1')} + 5 * {_count('lower(source)', 'src1')} AS score FROM documents)
 SELECT doc_id, score FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20""")
 def top03(spark, d):
-    words = F.array(F.lit("tion"), F.lit("der"), F.lit("src1"))
-    s = documents(spark, d).select("doc_id", search.keyword_score(F.col("text"), F.col("source"), words).alias("score")).where("score > 0")
+    low = documents(spark, d).select("doc_id", F.lower("text").alias("content"), F.lower("source").alias("heading"))
+    s = low.select("doc_id", search.keyword_score(F.col("content"), F.col("heading"), ["tion", "der", "src1"]).alias("score")).where("score > 0")
     return search.best(s, 20, F.desc("score"), "doc_id")
 
 
@@ -120,22 +121,6 @@ def agg18(spark, d):
     return documents(spark, d).groupBy("source").agg(F.size(F.collect_set("lang")).cast("long").alias("langs"))
 
 
-@query("flt13_exact_character_set", "SELECT source FROM documents WHERE doc_id < 200 GROUP BY source HAVING count(DISTINCT lang) = 2 AND bool_or(lang = 'en')")
-def flt13(spark, d):
-    """Also FLT14: equality with a set of known size."""
-    sets = documents(spark, d).where("doc_id < 200").groupBy("source").agg(F.collect_set("lang").alias("s"))
-    return sets.where((F.size("s") == 2) & F.array_contains("s", "en")).select("source")
-
-
-@query("set06_set_algebra", """WITH s AS (SELECT source, list_sort(list_distinct(list(lang))) AS l FROM documents WHERE doc_id < 100 GROUP BY source)
-SELECT source, array_to_string(list_filter(['de', 'en', 'it'], lambda x: list_contains(l, x)), ',') AS both, array_to_string(list_filter(['de', 'en', 'it'], lambda x: NOT list_contains(l, x)), ',') AS missing FROM s""")
-def set06(spark, d):
-    """Also SET07, FLT21 and FLT22: required minus present."""
-    need = F.array(F.lit("de"), F.lit("en"), F.lit("it"))
-    s = documents(spark, d).where("doc_id < 100").groupBy("source").agg(F.collect_set("lang").alias("l"))
-    return s.select("source", F.array_join(F.array_sort(F.array_intersect(need, "l")), ",").alias("both"), F.array_join(F.array_sort(F.array_except(need, "l")), ",").alias("missing"))
-
-
 def missing_positions(rows, key, position, width=1 << 12):
     """Positions between a key's least and greatest that it has no row for.
 
@@ -149,31 +134,24 @@ def missing_positions(rows, key, position, width=1 << 12):
     return inner.unionByName(outer).where("next > p + 1").select(key, F.explode(F.sequence(F.col("p") + 1, F.col("next") - 1)).alias("missing"))
 
 
-@query("flt25_missing_positions", "SELECT source, r AS missing FROM (SELECT source, unnest(generate_series(min(doc_id), max(doc_id))) AS r FROM documents WHERE doc_id < 300 GROUP BY source) WHERE (source, r) NOT IN (SELECT source, doc_id FROM documents)")
-def flt25(spark, d):
-    g = documents(spark, d).where("doc_id < 300").groupBy("source").agg(F.collect_set("doc_id").alias("have"))
-    return g.select("source", F.explode(F.array_except(F.sequence(F.array_min("have"), F.array_max("have")), "have")).alias("missing"))
-
-
-@query("flt13_exact_character_set_whole", "SELECT source FROM documents GROUP BY source HAVING count(DISTINCT lang) = 2 AND bool_or(lang = 'en')")
-def flt13_whole(spark, d):
-    """flt13 over all rows."""
+@query("flt13_exact_character_set", "SELECT source FROM documents GROUP BY source HAVING count(DISTINCT lang) = 2 AND bool_or(lang = 'en')")
+def flt13(spark, d):
+    """Also FLT14: equality with a set of known size."""
     sets = documents(spark, d).groupBy("source").agg(F.collect_set("lang").alias("s"))
     return sets.where((F.size("s") == 2) & F.array_contains("s", "en")).select("source")
 
 
-@query("set06_set_algebra_whole", """WITH s AS (SELECT source, list_sort(list_distinct(list(lang))) AS l FROM documents GROUP BY source)
+@query("set06_set_algebra", """WITH s AS (SELECT source, list_sort(list_distinct(list(lang))) AS l FROM documents GROUP BY source)
 SELECT source, array_to_string(list_filter(['de', 'en', 'it'], lambda x: list_contains(l, x)), ',') AS both, array_to_string(list_filter(['de', 'en', 'it'], lambda x: NOT list_contains(l, x)), ',') AS missing FROM s""")
-def set06_whole(spark, d):
-    """set06 over all rows."""
+def set06(spark, d):
+    """Also SET07, FLT21 and FLT22: required minus present."""
     need = F.array(F.lit("de"), F.lit("en"), F.lit("it"))
     s = documents(spark, d).groupBy("source").agg(F.collect_set("lang").alias("l"))
     return s.select("source", F.array_join(F.array_sort(F.array_intersect(need, "l")), ",").alias("both"), F.array_join(F.array_sort(F.array_except(need, "l")), ",").alias("missing"))
 
 
-@query("flt25_missing_positions_whole", "SELECT source, r AS missing FROM (SELECT source, unnest(generate_series(min(doc_id), max(doc_id))) AS r FROM documents GROUP BY source) WHERE (source, r) NOT IN (SELECT source, doc_id FROM documents)")
-def flt25_whole(spark, d):
-    """flt25 over all rows."""
+@query("flt25_missing_positions", "SELECT source, r AS missing FROM (SELECT source, unnest(generate_series(min(doc_id), max(doc_id))) AS r FROM documents GROUP BY source) WHERE (source, r) NOT IN (SELECT source, doc_id FROM documents)")
+def flt25(spark, d):
     return missing_positions(documents(spark, d), "source", "doc_id")
 
 

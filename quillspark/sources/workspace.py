@@ -1,4 +1,4 @@
-"""Paths for written data: the cluster's shared folder, or an own one where that is unset."""
+"""Paths for written data: the cluster's shared folder, or an own one where that is unset and all is one process."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ _OWN: list[str] = []
 def fresh(spark: SparkSession, label: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not shared:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append(f"file://{tempfile.mkdtemp(prefix='quillspark-')}")
         shared = _OWN[0]
