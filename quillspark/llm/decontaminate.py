@@ -4,16 +4,19 @@ Every text is cut into words; the hashes of its k-grams (k = 5) are winnowed:
 of each window of ``w`` consecutive hashes the least is kept, the leftmost of
 equals.  Two texts that share a span of ``k + w - 1`` words keep the same
 fingerprint in it, so with k = 5 and w = 6 no shared run of ten words is
-missed.  Items of fewer words are one window: for 5 to 9 words ``w`` shrinks
-to fit, for 1 to 4 words the k-gram is the whole item.
+missed.  Items of fewer words are one window and have fingerprints of their
+own: for 5 to 9 words ``w`` shrinks to fit, for 1 to 4 words the k-gram is the
+whole item; they don't make those of longer items any denser.
 
 Fingerprints of training and test texts are joined by hash, then every hit is
-extended word by word to both sides, which also settles hash collisions.
+extended word by word to both sides, which also settles hash collisions.  Only
+documents with hits are read again for that.
 
 Defined results: null or wordless texts have no words, hits or windows.
-Repeated document rows each get their row.  Repeated item rows with one id are
+Repeated document rows each get their row, and are looked at once.  Repeated item rows with one id are
 one item; an item without an id marks words but is not listed.  An empty
-benchmark leaves every document clean.  Extra columns are not read.
+benchmark leaves every document clean.  Very long texts are whole like others.
+Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
+from .keyfilter import marked, without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW, GRAM = 10, 5
@@ -55,26 +59,14 @@ def least_over(df: DataFrame, of: str, w: int) -> DataFrame:
 
 
 def schemes(items: DataFrame, window: int, gram: int) -> list[tuple[int, int]]:
-    """(k, w) of the documents' fingerprints; at most ``window`` item lengths are told apart."""
+    """(k, w) of the fingerprints, by the lengths of the items; at most ``window`` of them are told apart."""
     lengths = [r[0] for r in items.select(F.least(F.size("words"), F.lit(window))).distinct().collect() if r[0]]
-    found = {}
-    for n in lengths:
-        k = min(gram, n)
-        found[k] = min(found.get(k, window), n - k + 1)
-    return sorted(found.items())
-
-
-def item_prints(items: DataFrame, k: int, window: int, gram: int) -> DataFrame:
-    """The fingerprints of the items with k-grams of ``k`` words, with the words around each; equal contexts are one row."""
-    own = items.where(F.least(F.size("words"), F.lit(gram)) == k)
-    parts = None
-    for w in range(1, window - k + 2):
-        size = F.least(F.size("words"), F.lit(window))
-        some = own.where(size - k + 1 == w).withColumn("prints", grams(k))
-        some = least_over(some, "prints", w)
-        parts = some if parts is None else parts.unionByName(some)
-        if k < gram:
-            break
+    return sorted((min(gram, n), n - min(gram, n) + 1) for n in lengths)
+
+
+def item_prints(items: DataFrame, k: int, w: int, window: int) -> DataFrame:
+    """The fingerprints of the items whose windows have k + w - 1 words, with the words around each; equal contexts are one row."""
+    parts = least_over(items.where(F.least(F.size("words"), F.lit(window)) == k + w - 1).withColumn("prints", grams(k)), "prints", w)
     reach = window - k
     at = parts.select("item_id", "words", F.explode_outer("prints").alias("p")).where("p is not null").withColumn("j", F.expr(f"cast(p & {(1 << POSITION_BITS) - 1}L as int)"))
     return (
@@ -91,37 +83,46 @@ def item_prints(items: DataFrame, k: int, window: int, gram: int) -> DataFrame:
     )
 
 
-def prints(docs: DataFrame, k: int, w: int) -> DataFrame:
-    """(did, th, h, i): the winnowed fingerprints of the documents."""
-    some = least_over(docs.select("did", "th", grams(k).alias("prints")), "prints", w)
-    # Not explode(): its inferred size filter would be pushed below the projections and compute them over again.
-    return some.select("did", "th", F.explode_outer("prints").alias("p")).where("p is not null").select(
-        "did", "th", F.expr(f"shiftrightunsigned(p, {POSITION_BITS})").alias("h"),
-        F.expr(f"cast(p & {(1 << POSITION_BITS) - 1}L as int)").alias("i"),
-    )
-
+def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id="doc_id", text="text", item_id="item_id", item_text="text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, n_words) of every document row, and (id, th, spans, items) of the documents that have hits.
 
-def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id="doc_id", text="text", item_id="item_id", item_text="text") -> DataFrame:
-    """Every document row with ``__row`` (its columns), n_words, spans (start, end) of hit words and the items found."""
+    ``id`` is the doc_id, 0 for none, and ``th`` the hash of doc_id and text.  Spans (s, e) are those of hit words.
+    """
+    spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("words")).where(F.size("words") > 0)
-    did, th = F.coalesce(F.col(doc_id), F.lit(0)).cast("long"), F.xxhash64(doc_id, text)
-    keyed = docs.select(did.alias("did"), th.alias("th"), words(F.col(text)).alias("words"))
-    hits = None
-    for k, w in schemes(items, window, gram):
-        of_items = scratch.stage(item_prints(items, k, window, gram), "items")
-        found = prints(keyed, k, w).join(of_items, "h").select("did", "th", F.struct("i", "before", "gram", "after", "need", "items").alias("m"))
+    some = schemes(items, window, gram)
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id), F.lit(0)).cast("long").alias("id"), F.xxhash64(doc_id, text).alias("th"), F.col(text).alias("text"))
+    split = texts.select("doc_id", "id", "th", words(F.col("text")).alias("words"))
+    rows, hits = None, None
+    # The longest scheme last, which is most often the only one: its fingerprints are written with the counts of words.
+    for k, w in some:
+        of_items = scratch.stage(item_prints(items, k, w, window), "items")
+        own = least_over(split.withColumn("n_words", F.size("words")).withColumn("prints", grams(k)), "prints", w).drop("words")
+        if (k, w) == some[-1]:
+            own = rows = scratch.stage(own, "prints")
+        # Not explode(): its inferred size filter would be pushed below the projections.
+        own = own.select("id", "th", F.explode_outer("prints").alias("p")).where("p is not null")
+        own = own.select("id", "th", F.expr(f"shiftrightunsigned(p, {POSITION_BITS})").alias("h"), F.expr(f"cast(p & {(1 << POSITION_BITS) - 1}L as int)").alias("i"))
+        found = own.join(of_items, "h").select("id", "th", F.struct("i", "before", "gram", "after", "need", "items").alias("m"))
+        found = scratch.stage(found, "found")
         hits = found if hits is None else hits.unionByName(found)
-    rows = docs.select(F.struct("*").alias("__row"), did.alias("did"), th.alias("th"), words(F.col(text)).alias("words"))
+    if rows is None:
+        rows = split.withColumn("n_words", F.size("words"))
+    told = rows.select("doc_id", "id", "th", "n_words")
     if hits is None:
-        return rows.select("__row", F.size("words").alias("n_words"), F.expr("cast(array() as array<struct<s:int,e:int>>)").alias("spans"), F.array().cast("array<bigint>").alias("items"))
-    hits = scratch.stage(hits.groupBy("did", "th").agg(F.collect_list("m").alias("m")), "hits")
+        return told, spark.createDataFrame([], "id long, th long, spans array<struct<s:int,e:int>>, items array<bigint>")
+    # Repeated rows find the same hits.
+    hits = scratch.stage(hits.distinct().groupBy("id", "th").agg(F.collect_list("m").alias("m")), "hits")
     run = "if(array_position({0}, false) = 0, size({0}), cast(array_position({0}, false) as int) - 1)"
-    return (
-        rows.join(hits, ["did", "th"], "left")
+    again = marked(texts.select("id", "th", "text"), hits, ["id", "th"]).where("maybe").dropDuplicates(["id", "th"])
+    # Split below the join: above it, every use of the words would split the text again.
+    again = again.select("id", "th", words(F.col("text")).alias("words"))
+    spans = (
+        again.join(hits, ["id", "th"])
         .withColumn(
             "m",
             F.expr(
-                """transform(filter(coalesce(m, array()), x -> slice(words, x.i + 1, size(x.gram)) = x.gram), x -> struct(x.i as i, size(x.gram) as k, x.need as need, x.items as items,
+                """transform(filter(m, x -> slice(words, x.i + 1, size(x.gram)) = x.gram), x -> struct(x.i as i, size(x.gram) as k, x.need as need, x.items as items,
                 zip_with(reverse(slice(words, greatest(x.i - size(x.before), 0) + 1, least(x.i, size(x.before)))), x.before, (a, b) -> coalesce(a = b, false)) as l,
                 zip_with(slice(words, x.i + 1 + size(x.gram), size(x.after)), x.after, (a, b) -> coalesce(a = b, false)) as r))"""
             ),
@@ -129,11 +130,13 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         .withColumn("m", F.expr(f"transform(m, x -> struct(x.i - {run.format('x.l')} as s, x.i + x.k + {run.format('x.r')} as e, x.need as need, x.items as items))"))
         .withColumn("m", F.expr("filter(m, x -> x.e - x.s >= x.need)"))
         .select(
-            "__row", F.size("words").alias("n_words"),
-            F.expr("array_sort(array_distinct(transform(m, x -> struct(x.s as s, x.e as e))))").alias("spans"),
+            "id", "th",
+            # Spans as longs: structs would be told apart pair by pair.
+            F.expr("transform(sort_array(array_distinct(transform(m, x -> shiftleft(cast(x.s as bigint), 32) | x.e))), x -> struct(cast(shiftright(x, 32) as int) as s, cast(x & 4294967295L as int) as e))").alias("spans"),
             F.expr("array_distinct(flatten(transform(m, x -> x.items)))").alias("items"),
         )
     )
+    return told, scratch.stage(spans.where("size(spans) > 0"), "spans")
 
 
 #: Words covered by sorted spans.
@@ -142,9 +145,18 @@ COVERED = "aggregate(spans, struct(0L as n, 0 as upto), (a, x) -> struct(a.n + g
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Per document: words, words inside any occurrence of a benchmark window, and the items that occur."""
-    found = contaminated_spans(docs, benchmark, window, gram)
-    return found.select(
-        F.col("__row.doc_id").alias("doc_id"), F.col("n_words").cast("long").alias("n_words"), F.expr(COVERED).alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.expr("array_join(array_sort(transform(items, x -> cast(x as string))), ',')"), 256).alias("items_sha256"),
-    ).withColumn("contaminated", F.col("n_hit") > 0)
+    rows, spans = contaminated_spans(docs, benchmark, window, gram)
+    items = F.expr("array_join(array_sort(transform(items, x -> cast(x as string))), ',')")
+    found = spans.select("id", "th", F.expr(COVERED).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"))
+    return rows.join(found, ["id", "th"], "left").select(
+        "doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
+        F.col("n_hit").isNotNull().alias("contaminated"),
+    )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, doc_id="doc_id", text="text") -> DataFrame:
+    """The documents without any benchmark window, with their columns."""
+    _, spans = contaminated_spans(docs, benchmark, window, gram, doc_id, text)
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(doc_id), F.lit(0)).cast("long").alias("id"), F.xxhash64(doc_id, text).alias("th"))
+    return without(rows, spans.select("id", "th"), ["id", "th"]).select("row.*")
