@@ -16,8 +16,8 @@ def segments(files: DataFrame, path: str = "file_path", content: str = "content"
     segment; ### is forgotten at the next ##.
     """
     lines = files.select(F.col(path).alias("file_path"), F.posexplode(F.split(content, "\n")).alias("pos", "line"))
-    level = F.when(F.col("line").rlike(r"^## "), 2).when(F.col("line").rlike(r"^### "), 3)
-    marked = lines.withColumns({"level": level, "title": F.when(level.isNotNull(), F.trim(F.regexp_replace("line", r"^#{2,3} ", "")))})
+    level = F.when(F.col("line").rlike(r"^##\s+."), 2).when(F.col("line").rlike(r"^###\s+."), 3)
+    marked = lines.withColumns({"level": level, "title": F.when(level.isNotNull(), F.trim(F.regexp_replace("line", r"^#{2,3}\s+", "")))})
     w = W.partitionBy("file_path").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     marked = marked.withColumns({
         "island": F.sum(F.when(F.col("level").isNotNull(), 1).otherwise(0)).over(w),
@@ -29,14 +29,42 @@ def segments(files: DataFrame, path: str = "file_path", content: str = "content"
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x.line), "\n").alias("content"),
     )
     section = F.filter(F.array("h2", "h3"), lambda x: x.isNotNull() & (x != ""))
-    kept = body.select("file_path", F.col("island").alias("segment"), section.alias("section_path"), F.btrim("content", F.lit(" \n\t\r")).alias("content"))
+    deep = F.when(F.col("h3") != "", 3).when(F.col("h2").isNotNull(), 2).otherwise(1).cast("long")
+    kept = body.select("file_path", F.col("island").alias("segment"), section.alias("section_path"), deep.alias("level"), F.btrim("content", F.lit(" \n\t\r")).alias("content"))
     return kept.withColumns({
-        "segment_id": F.concat("file_path", F.lit("#"), F.array_join("section_path", "/")),
-        "level": F.when(F.size("section_path") == 0, 1).otherwise(F.size("section_path") + 1).cast("long"),
+        "segment_id": F.array_join(F.concat(F.array("file_path"), "section_path"), "::"),
+        "level": F.col("level"),
         "token_count": T.token_estimate("content"),
     })
 
 
+def blocks(files: DataFrame, path: str = "file_path", content: str = "content") -> DataFrame:
+    """Paragraphs and fenced blocks in order, each with the heading path above it (PRJ31).
+
+    Blank lines part paragraphs; a fence (``` or ~~~) runs to its end, blank
+    lines and headings included; an open one runs to the end of the file.
+    Headings of all six levels stand on the path and are no blocks.
+    """
+    lines = files.select(F.col(path).alias("file_path"), F.posexplode(F.split(content, "\n")).alias("pos", "line"))
+    w = W.partitionBy("file_path").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    mark = F.col("line").rlike(r"^\s*(```|~~~)")
+    fences = F.sum(F.when(mark, 1).otherwise(0)).over(w)
+    lines = lines.withColumns({"mark": mark, "fences": fences}).withColumn("fenced", F.col("mark") | (F.col("fences") % 2 == 1))
+    level = F.when(~F.col("fenced"), F.length(F.regexp_extract("line", r"^(#{1,6})\s+\S", 1)))
+    lines = lines.withColumn("level", F.when(level > 0, level)).withColumn("title", F.btrim(F.regexp_replace("line", r"^#{1,6}\s+", "")))
+    for n in range(1, 7):
+        # A heading of a lower number forgets the deeper ones.
+        lines = lines.withColumn(f"h{n}", F.last(F.when(F.col("level") == n, F.col("title")).when(F.col("level") < n, F.lit("")), ignorenulls=True).over(w))
+    blank = ~F.col("fenced") & (F.btrim("line") == "")
+    starts = F.col("level").isNotNull() | blank | (F.col("mark") & (F.col("fences") % 2 == 1))
+    after_fence = F.coalesce(F.lag(F.col("mark") & (F.col("fences") % 2 == 0)).over(W.partitionBy("file_path").orderBy("pos")), F.lit(False))
+    lines = lines.withColumn("block", F.sum(F.when(starts | after_fence, 1).otherwise(0)).over(w)).where(F.col("level").isNull() & ~blank)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x.line), "\n")
+    found = lines.groupBy("file_path", "block").agg(F.min("pos").alias("pos"), F.bool_or("fenced").alias("fenced"), text.alias("text"), *(F.max(f"h{n}").alias(f"h{n}") for n in range(1, 7)))
+    headings = F.filter(F.array(*(f"h{n}" for n in range(1, 7))), lambda x: x.isNotNull() & (x != ""))
+    return found.select("file_path", "pos", "fenced", "text", headings.alias("headings"))
+
+
 def compact(df: DataFrame, key: str, order: str, text: str, least: int, most: int) -> DataFrame:
     """Greedy chunks of consecutive texts of up to ``most`` characters; a tail of at most ``least`` is dropped (PRJ32)."""
     texts = F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda x: x[text])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversation, details, evaluation, generation, relational, retrieval  # noqa: F401
+from . import agents, conversation, details, evaluation, generation, relational, retrieval, scalars  # noqa: F401
 from .base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -285,8 +285,8 @@ def as_markdown(spark, d):
 
 
 @query("prj30_segments", """WITH p AS (SELECT page_id, url, 'w/' || page_id || '.md' AS f FROM pages)
-SELECT f AS file_path, f || '#' AS segment_id, 1 AS level, 'intro ' || url AS content FROM p UNION ALL
-SELECT f, f || '#H' || (page_id % 5), 2, url FROM p UNION ALL SELECT f, f || '#H' || (page_id % 5) || '/Sub', 3, 'text of ' || page_id FROM p UNION ALL SELECT f, f || '#Last', 2, '' FROM p""")
+SELECT f AS file_path, f AS segment_id, 1 AS level, 'intro ' || url AS content FROM p UNION ALL
+SELECT f, f || '::H' || (page_id % 5), 2, url FROM p UNION ALL SELECT f, f || '::H' || (page_id % 5) || '::Sub', 3, 'text of ' || page_id FROM p UNION ALL SELECT f, f || '::Last', 2, '' FROM p""")
 def prj30(spark, d):
     """Also PRJ33: a heading without lines gives no segment, blank lines give an empty one."""
     return markdown.segments(as_markdown(spark, d)).select("file_path", "segment_id", F.col("level").cast("int").alias("level"), "content")

@@ -63,7 +63,7 @@ def pages(spark: SparkSession, root: str) -> DataFrame:
 
 def markdown(spark: SparkSession, root: str) -> DataFrame:
     """Markdown files of a folder tree, one row each (SRC15, SRC21)."""
-    return spark.read.option("recursiveFileLookup", True).option("wholetext", True).option("pathGlobFilter", "*.md").text(root).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("content"))
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("content"))
 
 
 def csv_json(spark: SparkSession, path: str, cells: dict[str, str], schema: str) -> DataFrame:
@@ -94,3 +94,15 @@ def images(spark: SparkSession, root: str) -> DataFrame:
     """Sorted image paths of a folder tree; contents are not read (SRC26)."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{jpg,jpeg}").load(root)
     return rows.select("path", "length").orderBy("path")
+
+
+def reflections(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """JSON files two levels below a folder, without their ``meta``; files that can't be read are left out (SRC13)."""
+    rows = spark.read.schema(f"{schema}, __bad string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__bad").json(f"{root}/*/*.json")
+    return rows.where("__bad is null").drop("__bad", "meta")
+
+
+def system_prompt(spark: SparkSession, folder: str, profile: str | None = None) -> str:
+    """The template of a folder with its profile file, or another profile, in place of ``{profile}`` (SRC17)."""
+    read = lambda path: spark.read.text(path, wholetext=True).first()[0]
+    return read(f"{folder}/template.md").replace("{profile}", read(profile or f"{folder}/profile.md"))

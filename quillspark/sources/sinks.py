@@ -70,3 +70,12 @@ def run_resumable(inputs: DataFrame, path: str, keys: list[str], work: Callable[
 def relayout(path, pattern: str, to: str):
     """Paths rewritten by a pattern (SNK18)."""
     return F.regexp_replace(path, pattern, to)
+
+
+def once(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at ``path``, made only if it has not been finished before (STM09)."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -61,3 +61,23 @@ def event_windows(events: DataFrame, width: str = "1 day", late: str = "1 hour")
 def replay(events: DataFrame, key: str, order: str, field: str, value: str) -> DataFrame:
     """State of a mutation log: the last value of each field of each key (STM08)."""
     return events.groupBy(key, field).agg(F.max_by(value, order).alias(value))
+
+
+def replay_fold(pages: DataFrame, done: DataFrame, key: str, order: str, step: Callable[[object, dict], object], first: object, kind: str) -> DataFrame:
+    """(key, order, state) of the pages not done yet: a fold over a key's pages in order, in which done pages bring their stored state (STM06).
+
+    ``done`` has key, order and state; ``step(state, page)`` gives the state after a page.  A key's pages must fit one task.
+    """
+
+    def fold(rows: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
+        known, state, out = dict(zip(stored[order], stored["state"])), first, []
+        for page in rows.sort_values(order).to_dict("records"):
+            if page[order] in known:
+                state = known[page[order]]
+                continue
+            state = step(state, page)
+            out.append((page[key], page[order], state))
+        return pd.DataFrame(out, columns=[key, order, "state"])
+
+    schema = f"{key} {pages.schema[key].dataType.simpleString()}, {order} {pages.schema[order].dataType.simpleString()}, state {kind}"
+    return pages.groupBy(key).cogroup(done.groupBy(key)).applyInPandas(fold, schema)
