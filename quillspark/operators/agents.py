@@ -129,11 +129,11 @@ def rewritten(groups: DataFrame, backend: Callable, system: str, key: str, order
 
 @dataclass
 class Listing:
-    """A deterministic writer: how many lines it was given and the first words of the last one."""
+    """A deterministic writer: how many lines and characters it was given."""
 
     def __call__(self, system: str, messages: list[dict]) -> B.Reply:
-        lines = messages[-1]["content"].split("\n")
-        return B.Reply(f"{system} {len(lines)} lines")
+        given = messages[-1]["content"]
+        return B.Reply(f"{system} {len(given.split(chr(10)))} lines, {len(given)} characters")
 
 
 EDIT = re.compile(r"^(.+?) => (.*)$", re.S)

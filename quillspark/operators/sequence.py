@@ -67,11 +67,29 @@ def scene_index(scenes: DataFrame, base, order) -> DataFrame:
     return scenes.withColumn("scene_index", (F.row_number().over(_w(base, order)) - 1).cast("long"))
 
 
+def numbered(df: DataFrame, keys, order: str, into: str, width: int = 1 << 16) -> DataFrame:
+    """Rows numbered from 1 within a key by a whole number ``order``.
+
+    Rows are sorted in blocks of ``width`` values, and blocks begin where those
+    before them end, so no task holds all rows of a key.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    rows = df.withColumn("__block", F.floor(F.col(order) / width))
+    counts = rows.groupBy(*keys, "__block").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(*keys).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(counts.select(*keys, "__block", before.alias("__before")), [*keys, "__block"])
+    number = F.row_number().over(W.partitionBy(*keys, "__block").orderBy(order))
+    return rows.withColumn(into, (F.col("__before") + number).cast("long")).drop("__block", "__before")
+
+
 def last_non_empty(df: DataFrame, keys, order, value: str, n: int, into: str) -> DataFrame:
-    """The last n non-empty values before each row, in order (WIN10)."""
-    before = _w(keys, order).rowsBetween(W.unboundedPreceding, -1)
-    seen = df.withColumn("__seen", F.collect_list(F.when(F.col(value) != "", F.col(value))).over(before))
-    return seen.withColumn(into, F.slice("__seen", F.greatest(F.size("__seen") - (n - 1), F.lit(1)), n)).drop("__seen")
+    """The last n non-empty values before each row, in order (WIN10): short lists of the non-empty rows, carried on to the next ones."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    full = F.coalesce(F.col(value) != "", F.lit(False))
+    own = F.collect_list(value).over(_w([*keys, "__full"], order).rowsBetween(1 - n, 0))
+    seen = df.withColumn("__full", full).withColumn("__own", F.when(F.col("__full"), own))
+    found = F.last("__own", ignorenulls=True).over(_w(keys, order).rowsBetween(W.unboundedPreceding, -1))
+    return seen.withColumn(into, F.coalesce(found, F.array().cast("array<string>"))).drop("__full", "__own")
 
 
 def carry_forward(df: DataFrame, keys, order, value: str, into: str) -> DataFrame:
@@ -81,9 +99,9 @@ def carry_forward(df: DataFrame, keys, order, value: str, into: str) -> DataFram
 
 def spread(df: DataFrame, keys, order, span: int = 60, into: str = "days_ago") -> DataFrame:
     """Positions spread evenly over a span: i * span // max(n - 1, 1) (WIN15)."""
-    at = F.row_number().over(_w(keys, order)) - 1
-    n = F.count(F.lit(1)).over(W.partitionBy(*keys))
-    return df.withColumn(into, F.floor(at * span / F.greatest(n - 1, F.lit(1))))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
+    rows = numbered(df, keys, order, "__at").join(sizes, list(keys))
+    return rows.withColumn(into, F.floor((F.col("__at") - 1) * span / F.greatest(F.col("__size") - 1, F.lit(1)))).drop("__at", "__size")
 
 
 def cycle(items: Column, i: Column, default: str) -> Column:

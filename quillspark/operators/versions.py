@@ -45,7 +45,8 @@ def tree(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def unified(before: str, after: str) -> str:
-    return "".join(difflib.unified_diff(before.splitlines(True), after.splitlines(True), "a", "b"))
+    """A unified diff of the texts' lines; the end of the last line needs no mark, as lines are what stands between line feeds."""
+    return "\n".join(difflib.unified_diff(before.split("\n"), after.split("\n"), "a", "b", lineterm=""))
 
 
 HUNK = re.compile(r"@@ -(\d+)(?:,(\d+))? \+\d+(?:,\d+)? @@")
@@ -53,8 +54,8 @@ HUNK = re.compile(r"@@ -(\d+)(?:,(\d+))? \+\d+(?:,\d+)? @@")
 
 def patch(before: str, diff: str) -> str:
     """The text after a unified diff of :func:`unified` (SNK11)."""
-    old, out, at = before.splitlines(True), [], 0
-    for line in diff.splitlines(True)[2:]:
+    old, out, at = before.split("\n"), [], 0
+    for line in diff.split("\n")[2:]:
         if m := HUNK.match(line):
             start = int(m[1]) - (0 if m[2] == "0" else 1)
             out += old[at:start]
@@ -66,7 +67,7 @@ def patch(before: str, diff: str) -> str:
             at += 1
         else:
             out.append(line[1:])
-    return "".join(out + old[at:])
+    return "\n".join(out + old[at:])
 
 
 def diffs(versions: DataFrame, key: str, number: str, text: str) -> DataFrame:
@@ -80,6 +81,20 @@ def diffs(versions: DataFrame, key: str, number: str, text: str) -> DataFrame:
     return versions.withColumn("__before", before).withColumn("diff", diff("__before", text)).drop("__before")
 
 
+def replayed(changes: DataFrame, key: str, number: str, diff: str = "diff") -> DataFrame:
+    """(key, number, text): the versions again, each by its diff from the one before (SNK11); a key's diffs must fit one task."""
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        text, out = "", []
+        for n, change in sorted(zip(rows[number], rows[diff])):
+            text = patch(text, change)
+            out.append((rows[key].iloc[0], n, text))
+        return pd.DataFrame(out, columns=[key, number, "text"])
+
+    kinds = {c: changes.schema[c].dataType.simpleString() for c in (key, number)}
+    return changes.groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, {number} {kinds[number]}, text string")
+
+
 def condense_to_budget(df: DataFrame, text: str, budget: int, shorten: Callable[[Column], Column], passes: int = 5) -> DataFrame:
     """Texts over a token budget are shortened again, at most ``passes`` times (ITR05)."""
     for _ in range(passes):

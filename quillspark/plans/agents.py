@@ -182,7 +182,7 @@ def udf07(spark, d):
     return out.select("prompt_id", "suite", F.round("score", 6).alias("score"), F.when(F.col("sub_scores").isNotNull(), F.size("sub_scores")).cast("long").alias("subs"), "passed")
 
 
-@query("udf09_user_turn", "SELECT conv_id, 'Write the next user message. ' || CAST(2 + sum(1 + length(text) - length(replace(text, chr(10), ''))) AS BIGINT) || ' lines' AS said FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id")
+@query("udf09_user_turn", "SELECT conv_id, 'Write the next user message. ' || CAST(2 + sum(1 + length(text) - length(replace(text, chr(10), ''))) AS BIGINT) || ' lines, ' || CAST(45 + sum(length(text) + CASE role WHEN 'assistant' THEN 8 ELSE 7 END) AS BIGINT) || ' characters' AS said FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id")
 def udf09(spark, d):
     c = table(spark, d, "conversations").where("role in ('user', 'assistant')")
     talks = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
@@ -221,7 +221,7 @@ def udf11(spark, d):
 STAGES = ["Refine", "Synthesize", "Generalize", "Condense", "Write"]
 
 
-@query("udf11_rewriters", "SELECT s AS stage, source, count(*) AS n, s || ' ' || count(*) || ' lines' AS text FROM documents, (SELECT unnest(['Refine', 'Synthesize', 'Generalize', 'Condense', 'Write']) AS s) GROUP BY s, source")
+@query("udf11_rewriters", "SELECT s AS stage, source, count(*) AS n, s || ' ' || count(*) || ' lines, ' || CAST(sum(length(lang) + 3) - 1 AS BIGINT) || ' characters' AS text FROM documents, (SELECT unnest(['Refine', 'Synthesize', 'Generalize', 'Condense', 'Write']) AS s) GROUP BY s, source")
 def udf11_rewriters(spark, d):
     """Refiner, synthesizer, generalizer, condenser and document writer: one generation a group each."""
     rows = documents(spark, d).select("source", "doc_id", F.col("lang").alias("text"))

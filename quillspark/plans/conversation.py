@@ -121,9 +121,7 @@ def win08(spark, d):
 
 @query("win09_page_rank", "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page FROM documents")
 def win09(spark, d):
-    from pyspark.sql.window import Window as W
-
-    return table(spark, d, "documents").select("doc_id", F.row_number().over(W.partitionBy("source").orderBy("doc_id")).cast("long").alias("page"))
+    return sequence.numbered(table(spark, d, "documents").select("source", "doc_id"), "source", "doc_id", "page").select("doc_id", "page")
 
 
 @query("win10_prior_context", """WITH a AS (SELECT user_id, event_id, CASE WHEN event_type IN ('click', 'purchase') THEN CAST(event_id AS VARCHAR) ELSE '' END AS v FROM events),
@@ -157,7 +155,7 @@ def win13(spark, d):
 
 @query("win15_spread", """SELECT doc_id, CAST(floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) * 60 / greatest(count(*) OVER (PARTITION BY source) - 1, 1)) AS BIGINT) AS days_ago FROM documents""")
 def win15(spark, d):
-    return sequence.spread(table(spark, d, "documents"), ["source"], ["doc_id"]).select("doc_id", "days_ago")
+    return sequence.spread(table(spark, d, "documents").select("source", "doc_id"), ["source"], "doc_id").select("doc_id", "days_ago")
 
 
 @query("win16_directives", """SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'continue' WHEN 1 THEN ['probe', 'joke'][turn % 2 + 1] ELSE ['probe', 'joke', 'leave'][turn % 3 + 1] END AS directive FROM conversations""")
@@ -175,7 +173,7 @@ def win18(spark, d):
 
 @query("flt01_target_speaker", "SELECT conv_id FROM conversations GROUP BY conv_id HAVING bool_or(lower(role) = 'system')")
 def flt01(spark, d):
-    return chat.collect_messages(conversations(spark, d)).where(F.exists("messages", lambda m: F.lower(m.role) == "system")).select("conv_id")
+    return conversations(spark, d).groupBy("conv_id").agg(F.bool_or(F.lower("role") == "system").alias("has")).where("has").select("conv_id")
 
 
 @query("prj01_flatten", """SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS pos, role, length(text) AS n FROM conversations""")

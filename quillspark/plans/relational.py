@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import consensus, markdown
+from ..operators import consensus, markdown, sequence
 from ..sources import readers, sinks, workspace
 from ..streaming import incremental
 from .base import query, table
@@ -235,8 +235,8 @@ def agg21(spark, d):
 
 @query("agg22_target_share", "SELECT l_orderkey, round(count(*) FILTER (l_returnflag = 'R') / count(*), 6) AS share FROM lineitem GROUP BY l_orderkey")
 def agg22(spark, d):
-    a = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_returnflag").alias("a"))
-    return a.select("l_orderkey", F.round(F.size(F.filter("a", lambda x: x == "R")) / F.size("a"), 6).alias("share"))
+    a = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(F.count_if(F.col("l_returnflag") == "R") / F.count("*"), 6).alias("share"))
+    return a
 
 
 @query("agg19_mode", "SELECT source, arg_max(lang, (n, -first)) AS lang FROM (SELECT source, lang, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY ALL) GROUP BY source")
@@ -383,7 +383,5 @@ def top09(spark, d):
 
 @query("arr03_batches", "SELECT source, (rn - 1) // 5 AS batch, count(*) AS n FROM (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) GROUP BY ALL")
 def arr03(spark, d):
-    from pyspark.sql.window import Window as W
-
-    rn = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))
-    return documents(spark, d).select("source", F.floor((rn - 1) / 5).alias("batch")).groupBy("source", "batch").agg(F.count("*").alias("n"))
+    rows = sequence.numbered(documents(spark, d).select("source", "doc_id"), "source", "doc_id", "rn")
+    return rows.select("source", F.floor((F.col("rn") - 1) / 5).alias("batch")).groupBy("source", "batch").agg(F.count("*").alias("n"))

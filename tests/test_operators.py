@@ -101,7 +101,7 @@ def test_segments(spark):
     text = "lead\n# top\n## A\nx\n### B\ny\n#### deep\n## C\n### D\n## E\n\n"
     df = spark.createDataFrame([("f.md", text)], "file_path string, content string")
     got = [(r.segment_id, r.level, r.content) for r in markdown.segments(df).orderBy("segment").collect()]
-    assert got == [("f.md#", 1, "lead\n# top"), ("f.md#A", 2, "x"), ("f.md#A/B", 3, "y\n#### deep"), ("f.md#E", 2, "")]
+    assert got == [("f.md", 1, "lead\n# top"), ("f.md::A", 2, "x"), ("f.md::A::B", 3, "y\n#### deep"), ("f.md::E", 2, "")]
 
 
 def test_compact_drops_a_short_tail(spark):
@@ -145,10 +145,10 @@ def test_sets_and_gaps_of_all_rows(spark, tmp_path):
     rows = [(1, "a", "en"), (5000, "a", "fr"), (5003, "a", "fr"), (9000, "b", "en"), (2, "c", "de"), (301, "c", "en"), (302, "c", "it")]
     spark.createDataFrame(rows, "doc_id long, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     run = lambda name: sorted(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).collect()))
-    assert run("flt13_exact_character_set_whole") == [("a",)]
-    assert run("set06_set_algebra_whole") == [("a", "en", "de,it"), ("b", "en", "de,it"), ("c", "de,en,it", "")]
+    assert run("flt13_exact_character_set") == [("a",)]
+    assert run("set06_set_algebra") == [("a", "en", "de,it"), ("b", "en", "de,it"), ("c", "de,en,it", "")]
     gaps = [("a", i) for i in range(2, 5003) if i != 5000] + [("c", i) for i in range(3, 301)]
-    assert run("flt25_missing_positions_whole") == gaps
+    assert run("flt25_missing_positions") == gaps
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(map(tuple, retrieval.missing_positions(docs, "source", "doc_id", 3).collect())) == gaps
 
@@ -178,9 +178,9 @@ def test_whole_texts_are_carried(spark, tmp_path):
     run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
     want = {i: round(SequenceMatcher(None, t.lower(), t[10:].lower()).ratio(), 6) for i, t in enumerate(texts)}
     assert {r.doc_id: r.ratio for r in run("agg20_similarity")} == want
-    assert {r.doc_id: (r.text, r.plain) for r in run("src18_csv_json_cells_whole")} == {i: (t, t) for i, t in enumerate(texts)}
-    assert {r.key: r.value for r in run("src04_memory_bank_whole")} == {str(i): t for i, t in enumerate(texts)}
-    assert f"{len(' '.join('- ' + t for t in texts).split())} words" in run("udf08_compact_memories")[0].text
+    assert {r.doc_id: (r.text, r.plain) for r in run("src18_csv_json_cells")} == {i: (t, t) for i, t in enumerate(texts)}
+    assert {r.key: r.value for r in run("src04_memory_bank")} == {str(i): t for i, t in enumerate(texts)}
+    assert f"{sum(len(t) + 3 for t in texts) - 1} characters" in run("udf08_compact_memories")[0].text
 
 
 def test_sampling_is_reproducible_and_weighted(spark):
