@@ -54,7 +54,7 @@ def src15(spark, d):
 @query("prj33_split_markdown", f"WITH {SEGMENTS} SELECT file_path, array_to_string(section, ' > ') AS heading, len(section) AS depth, {TOKENS} AS tokens FROM seg")
 def prj33(spark, d):
     s = markdown.segments(as_markdown(spark, d))
-    return s.select("file_path", F.array_join("section_path", " > ").alias("heading"), F.size("section_path").alias("depth"), F.col("token_count").alias("tokens"))
+    return s.select("file_path", F.array_join("section_path", " > ").alias("heading"), F.size("section_path").cast("long").alias("depth"), F.col("token_count").alias("tokens"))
 
 
 @query("prj31_blocks", """SELECT page_id, unnest([0, 3, 7, 14, 16]) AS pos, unnest([false, false, true, false, false]) AS fenced,
@@ -251,7 +251,7 @@ def itr06(spark, d):
 
 @query("src28_manual_prompts", f"SELECT kind || '-' || lpad(n::VARCHAR, 3, '0') AS id, kind, 'The user ' || wants AS user_summary, CASE WHEN tools = '' THEN 0 ELSE len(string_split(tools, ',')) END AS tools FROM (VALUES {values(prompts.MANUAL)}) t(kind, wants, tools), (SELECT unnest(range(1, 6)) AS n)")
 def src28_manual(spark, d):
-    return prompts.manual_prompts(spark).select("id", "kind", "user_summary", F.size("tools").alias("tools"))
+    return prompts.manual_prompts(spark).select("id", "kind", "user_summary", F.size("tools").cast("long").alias("tools"))
 
 
 @query("src28_suite_prompts", f"SELECT suite || '-' || lpad(i::VARCHAR, 3, '0') || CASE WHEN v = '' THEN '' ELSE '-' || v END AS id, suite, v AS variant, e AS expected_tool_use FROM (SELECT suite, e, i, unnest(string_split(vs, ',')) AS v FROM (SELECT suite, vs, e, unnest(range(1, n + 1)) AS i FROM (VALUES {values(prompts.SUITES)}) t(suite, n, vs, e)))")

@@ -76,7 +76,7 @@ def jon22(spark, d):
 @query("prj34_document_tree", "SELECT page_id, unnest(range(7)) AS ord, unnest([1, 0, 2, 0, 3, 0, 2]) AS level, unnest(['', 'T', 'T', 'T/' || url, 'T/' || url, 'T/' || url || '/s', 'T']) AS parent, unnest(['T', NULL, url, NULL, 's', NULL, 'end']) AS header, unnest([NULL, 'a', NULL, 'b', NULL, 'c', NULL]) AS line FROM pages")
 def prj34(spark, d):
     docs = table(spark, d, "pages").select("page_id", F.concat(F.lit("# T\na\n## "), F.col("url"), F.lit("\nb\n### s\nc\n## end")).alias("text"))
-    return versions.tree(docs, "page_id", "text").select("page_id", "ord", "level", F.array_join("parent_path", "/").alias("parent"), "header", "line")
+    return versions.tree(docs, "page_id", "text").select("page_id", F.col("ord").cast("long").alias("ord"), "level", F.array_join("parent_path", "/").alias("parent"), "header", "line")
 
 
 @query("snk11_version_diffs", "SELECT conv_id, turn, md5(string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn)) AS hash FROM conversations")

@@ -69,7 +69,7 @@ def mth05(spark, d):
     return spark.createDataFrame(rows, "attempt long, plain double, most double, least double")
 
 
-@query("stm10_retries", "SELECT * FROM (VALUES (0, 'done', 1, 0.0), (1, 'done', 2, 2.0), (2, 'done', 3, 6.0), (3, NULL, 3, 6.0), (9, NULL, 3, 6.0)) t(failures, result, calls, waited)")
+@query("stm10_retries", "SELECT failures, result, calls, waited::DOUBLE AS waited FROM (VALUES (0, 'done', 1, 0.0), (1, 'done', 2, 2.0), (2, 'done', 3, 6.0), (3, NULL, 3, 6.0), (9, NULL, 3, 6.0)) t(failures, result, calls, waited)")
 def stm10(spark, d):
     """Three attempts on overload with growing waits; a batch that fails for good gives nothing."""
 
@@ -284,7 +284,7 @@ def src20(spark, d):
     name = F.format_string("take-pkna%d-conv%d-page%d.json", i % 7, i % 5, i % 3)
     rows = documents(spark, d).select("doc_id", "source", name.alias("file"))
     rows = rows.withColumns({k: F.regexp_extract("file", f"{k}(\\d+)", 1).cast("long") for k in ("pkna", "conv", "page")})
-    return rows.withColumn("place", F.row_number().over(W.partitionBy("source").orderBy("pkna", "conv", "page", "doc_id"))).drop("source", "file")
+    return rows.withColumn("place", F.row_number().over(W.partitionBy("source").orderBy("pkna", "conv", "page", "doc_id")).cast("long")).drop("source", "file")
 
 
 @query("src22_log_scan", "SELECT lang, count(*) AS calls, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang")
@@ -310,7 +310,7 @@ def snk08(spark, d):
     return spark.read.parquet(path).groupBy("text").agg(F.count("*").alias("n"))
 
 
-@query("snk17_operations_log", "SELECT n_nationkey AS step, unnest(['begin', 'end']) AS what FROM nation")
+@query("snk17_operations_log", "SELECT CAST(n_nationkey AS BIGINT) AS step, unnest(['begin', 'end']) AS what FROM nation")
 def snk17(spark, d):
     path, steps = workspace.fresh(spark, "log"), table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("step"))
     for what in ("begin", "end"):
@@ -318,7 +318,7 @@ def snk17(spark, d):
     return readers.strict(spark, path, "step long, what string")
 
 
-@query("snk05_file_per_entity", "SELECT n_name AS name, n_nationkey AS id FROM nation")
+@query("snk05_file_per_entity", "SELECT n_name AS name, CAST(n_nationkey AS BIGINT) AS id FROM nation")
 def snk05(spark, d):
     root = workspace.fresh(spark, "entities")
     rows = table(spark, d, "nation").select(F.concat("n_name", F.lit(".json")).alias("path"), F.to_json(F.struct(F.col("n_nationkey").alias("id"))).alias("data"))
@@ -337,7 +337,7 @@ def src17(spark, d):
     return spark.createDataFrame(rows, "kind string, prompt string")
 
 
-@query("src13_reflections", "SELECT n_name AS scene, n_regionkey AS mood FROM nation WHERE n_nationkey % 5 <> 0")
+@query("src13_reflections", "SELECT n_name AS scene, CAST(n_regionkey AS BIGINT) AS mood FROM nation WHERE n_nationkey % 5 <> 0")
 def src13(spark, d):
     """Two levels of folders, without ``meta``; broken files are left out."""
     root, n = workspace.fresh(spark, "reflections"), table(spark, d, "nation")
@@ -347,7 +347,7 @@ def src13(spark, d):
     return readers.reflections(spark, root, "scene string, mood long, meta struct<model:string>")
 
 
-@query("src16_page_files", "SELECT 'i' || n_regionkey AS issue, n_nationkey AS page_num, n_name AS summary, n_nationkey % 3 AS panels FROM nation")
+@query("src16_page_files", "SELECT 'i' || n_regionkey AS issue, CAST(n_nationkey AS BIGINT) AS page_num, n_name AS summary, CAST(n_nationkey % 3 AS BIGINT) AS panels FROM nation")
 def src16(spark, d):
     """Typed page files, one JSON document each."""
     root, n = workspace.fresh(spark, "pages"), table(spark, d, "nation")
@@ -432,7 +432,7 @@ def jon19(spark, d):
     a = F.split("text", "\n")
     zipped = F.arrays_zip(a.alias("x"), F.filter(a, lambda x: F.length(x) % 5 != 0).alias("y"))
     rows = documents(spark, d).select("doc_id", F.posexplode(zipped).alias("at", "z"))
-    return rows.select("doc_id", (F.col("at") + 1).alias("at"), F.col("z.x").alias("x"), F.col("z.y").alias("y"), F.coalesce(F.col("z.x") == F.col("z.y"), F.lit(False)).alias("same"))
+    return rows.select("doc_id", (F.col("at") + 1).cast("long").alias("at"), F.col("z.x").alias("x"), F.col("z.y").alias("y"), F.coalesce(F.col("z.x") == F.col("z.y"), F.lit(False)).alias("same"))
 
 
 @query("set02_union_single_multi", "SELECT doc_id, 'single' AS kind FROM documents UNION ALL SELECT conv_id, 'multi' FROM conversations WHERE turn = 0")
@@ -468,7 +468,7 @@ def top13(spark, d):
     from pyspark.sql.window import Window as W
 
     few = sampling.sample(documents(spark, d).select("doc_id"), 200, "s9", "doc_id")
-    return few.select("doc_id", F.row_number().over(W.orderBy(T.uniform("s9", "doc_id"), "doc_id")).alias("place"))
+    return few.select("doc_id", F.row_number().over(W.orderBy(T.uniform("s9", "doc_id"), "doc_id")).cast("long").alias("place"))
 
 
 @query("prj15_structured_response", "SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE doc_id END AS id FROM documents")
