@@ -10,8 +10,10 @@ one of them is at most half full: what goes up the tree to be joined are those
 bins and the bins with room for them, and its size falls with each round.
 
 Defined results: a null or empty text is one piece holding the end id alone.
-Repeated rows are packed each on their own.  Empty tables give empty results.
-Only the named columns are read.
+Repeated rows are packed each on their own, also those without an id; a very
+long text is tokenized part by part and cut into as many pieces as it needs.
+Empty tables give empty results.  Only the named columns are read, so columns
+of any other name may stand beside them.
 """
 
 from __future__ import annotations
@@ -38,7 +40,6 @@ PIECES_A_PARTITION, FAN_IN = 60_000, 8
 def cut_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col="doc_id", text_col="text", ids: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` tokens: doc_id, piece, start, length, ids_crc32 (and ids, as 4-byte little-endian)."""
     end = np.asarray([end_id], "<u4").tobytes()
-    scratch.bound_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokens.word_tokenizer(vocabulary)
@@ -96,9 +97,10 @@ def pack_round(level: int, capacity: int, last: bool):
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = [batch for batch in batches if batch.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         fills = table.column("fill").to_pylist()
         lists = table.column("items").combine_chunks()
         if isinstance(lists, pa.ChunkedArray):
@@ -133,10 +135,12 @@ def pack_round(level: int, capacity: int, last: bool):
 def pack_best_fit(pieces: DataFrame, capacity: int = CAPACITY, fan_in: int = FAN_IN, a_partition: int = PIECES_A_PARTITION) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32), none longer than ``capacity``."""
     spark = pieces.sparkSession
-    pieces = scratch.stage(pieces.select("doc_id", "piece", "start", "length", "ids_crc32"), "pieces")
+    with scratch.bounded_batches(spark):
+        pieces = scratch.stage(pieces.select("doc_id", "piece", "start", "length", "ids_crc32"), "pieces")
     total = pieces.count()
     parts = max(1, -(-total // a_partition))
-    bins = pieces.repartition(parts, "doc_id", "piece", "ids_crc32").select(
+    # Dealt in turn, not by a key: repeated rows don't meet in one partition.
+    bins = pieces.repartition(parts).select(
         F.lit(0).cast("long").alias("bin"), F.col("length").alias("fill"), F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("at"))).alias("items")
     )
     emitted, level, left = [], 0, None

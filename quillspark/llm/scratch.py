@@ -1,7 +1,8 @@
 """Shared scratch space: lineage is cut by tables written where every executor can read them.
 
 The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset
-(tests) a local folder is made.  Files are written through Spark or, for binary
+and driver and executors are one process (``local[n]``, as in tests) a local
+folder is made.  On a cluster without the setting operators raise.  Files are written through Spark or, for binary
 outputs, through a pyarrow file system opened from the folder's URI.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +22,8 @@ def root(spark: SparkSession) -> str:
     """URI of the session's shared folder."""
     shared = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not shared:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append(f"file://{tempfile.mkdtemp(prefix='quillspark-')}")
         shared = _OWN[0]
@@ -61,12 +65,16 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
-def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Let Arrow batches hold no more than ``rows`` rows from here on: texts are long, and a batch is held several times over in a worker."""
+@contextmanager
+def bounded_batches(spark: SparkSession, rows: int = 500):
+    """Lets the Arrow batches of what is run inside hold no more than ``rows`` rows: texts are long, and a batch is held several times over in a worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def clear(spark: SparkSession) -> None:
