@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of the map: 1024 rows of 4 KB, 4 MB, at most, however many keys there are.
-BITS = 1 << 25
+#: Bits of the map, 64 to a row: 262144 rows of two longs, some 12 MB in memory, at most, however many keys there are.
+BITS = 1 << 24
 
 
 def marked(rows: DataFrame, keys: DataFrame, on: list[str], bits: int = BITS) -> DataFrame:
@@ -16,10 +16,10 @@ def marked(rows: DataFrame, keys: DataFrame, on: list[str], bits: int = BITS) ->
     it passes over fewer rows.  ``rows`` have no columns part, at, map or maybe.
     """
     bit = F.pmod(F.xxhash64(*on), F.lit(bits))
-    maps = keys.select(F.bitmap_bucket_number(bit).alias("part"), F.bitmap_bit_position(bit).alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("map"))
-    rows = rows.withColumns({"part": F.bitmap_bucket_number(bit), "at": F.bitmap_bit_position(bit)}).join(F.broadcast(maps), "part", "left")
-    byte = "cast(conv(hex(substring(map, cast(at div 8 + 1 as int), 1)), 16, 10) as int)"
-    return rows.withColumn("maybe", F.expr(f"coalesce(shiftright({byte}, cast(at % 8 as int)) & 1 = 1, false)")).drop("part", "at", "map")
+    place = {"part": F.shiftright(bit, 6), "at": bit.bitwiseAND(F.lit(63)).cast("int")}
+    maps = keys.select(*(c.alias(name) for name, c in place.items())).groupBy("part").agg(F.expr("bit_or(shiftleft(1L, at))").alias("map"))
+    told = rows.withColumns(place).join(F.broadcast(maps), "part", "left")
+    return told.withColumn("maybe", F.expr("coalesce(shiftright(map, at) & 1 = 1, false)")).drop("part", "at", "map")
 
 
 def without(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:

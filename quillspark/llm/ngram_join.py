@@ -116,7 +116,9 @@ class NgramJoin:
         frequent = tokens.groupBy("t").count().where(F.col("count") > RARE).select("t", F.floor(F.log2("count")).cast("int").alias("level"))
         frequent = scratch.stage(frequent, "frequent")
         scratch.release(self.spark)
-        met = scratch.stage(tokens.join(frequent, "t").groupBy("f").agg(F.collect_list(F.struct("level", "t")).alias("common")), "met")
+        # Nearly all tokens are rare: those are passed over before the shuffle.
+        some = marked(tokens, frequent, ["t"]).where("maybe").drop("maybe")
+        met = scratch.stage(some.join(frequent, "t").groupBy("f").agg(F.collect_list(F.struct("level", "t")).alias("common")), "met")
         scratch.release(self.spark, frequent)
         ranked = scratch.stage(
             nodes.join(met, "f", "left")
