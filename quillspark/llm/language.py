@@ -14,29 +14,30 @@ A row is rejected (language ``und``) if its text has hardly any letters or is
 unlike all the languages, or if no language has more than half of the odds.
 
 Defined results: null or empty texts are ``und``; null hosts share one prior;
-an undeclared or unknown markup language is no evidence.  Repeated rows get
-equal results.  Without labelled documents there are no languages and all rows
-are ``und``.  Empty tables give empty results.
+an undeclared or unknown markup language is no evidence.  Letters are sought in
+the whole text, however long.  Repeated rows get equal results, but for the
+share that each takes out, which is its own.  Ties go to the language of the
+lesser name.  Without labelled documents there are no languages and all rows
+are ``und``.  Empty tables give empty results.  Columns of the input may have
+any names.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
 from itertools import islice
-from operator import or_
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from . import scratch
 
-#: Labelled documents a language that fit the text model, and languages told apart.
-SAMPLE, MAX_LANGUAGES = 500, 32
+#: Labelled documents a language that fit the text model, and the most languages that its table is made for; more raise an error.
+SAMPLE, MAX_LANGUAGES = 500, 512
 BINS = 1 << 16
 TEMPER = 0.25
 #: A text must be likelier per trigram than the least likely training text by no less than this.
@@ -46,13 +47,32 @@ MIN_LETTERS = 4
 STRENGTH = 10.0
 UNKNOWN = "und"
 
-MARKUP = re.compile(r"<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+HIDDEN = re.compile(r"<(script|style)\b", re.I)
+ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style")}
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 DECLARED = r"(?i)<html[^>]*?\slang\s*=\s*[\"']?([a-z]+)"
 
 
 def visible(html: str | None) -> str:
-    return MARKUP.sub(" ", html) if html else ""
+    """What stands outside of tags, comments, scripts and styles, in one scan: an end that was not found is not looked for again."""
+    out, at, html = [], 0, html or ""
+    missing: set[str] = set()
+    while (tag := html.find("<", at)) >= 0 and (end := html.find(">", tag)) >= 0:
+        out.append(html[at:tag])
+        at = end + 1
+        hidden = HIDDEN.match(html, tag)
+        if hidden and (name := hidden[1].lower()) not in missing:
+            if close := ENDS[name].search(html, at):
+                at = close.end()
+            else:
+                missing.add(name)
+        elif html.startswith("<!--", tag) and "-->" not in missing:
+            if (close := html.find("-->", tag + 4)) >= 0:
+                at = close + 3
+            else:
+                missing.add("-->")
+    out.append(html[at:])
+    return " ".join(out)
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -82,46 +102,41 @@ class TextModel:
 
 
 def fit_text(labelled: DataFrame, sample: int = SAMPLE, id_col="doc_id", text_col="text", lang_col="lang") -> TextModel:
-    """Trigram models of the most frequent languages; ``sample`` rows of least id hash of each."""
-    known = labelled.where(F.col(lang_col).isNotNull())
-    counts = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r.lang for r in counts)
+    """Trigram models of all labelled languages, each from the ``sample`` different rows of least hash."""
+    known = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} labelled languages")
+    languages = sorted(counts)
     if not languages:
         return TextModel([], np.empty((BINS, 0), np.float32), 0.0)
-    order = W.partitionBy("lang").orderBy("h")
-    chosen = (
-        known.where(F.col(lang_col).isin(languages)).select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"))
-        .withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).groupBy("lang").agg(F.max("h").alias("h")).collect()
-    )
-    bounds = [(F.col(lang_col) == r.lang) & (F.xxhash64(id_col) <= r.h) for r in chosen]
-    few = known.where(reduce(or_, bounds))
+    # Twice as many rows as are asked for lie below this share of the hashes; few of them are sorted, however large a language.
+    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, 2 * sample / counts[lang]))])
+    some = known.where((F.col("h") / 2.0**64 + 0.5 <= share[F.col("lang")])).dropDuplicates(["lang", "h"])
+    few = some.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample)
 
-    @F.pandas_udf("array<struct<b:int,n:int>>")
-    def bins(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            found, n = np.unique(trigrams(t or ""), return_counts=True)
-            out.append([{"b": int(b), "n": int(c)} for b, c in zip(found, n)])
-        return pd.Series(out)
+    @F.arrow_udf("array<struct<b:int,n:int>>")
+    def bins(texts: pa.Array) -> pa.Array:
+        counted = [np.unique(trigrams(t or ""), return_counts=True) for t in texts.to_pylist()]
+        return pa.array([[{"b": b, "n": c} for b, c in zip(found.tolist(), n.tolist())] for found, n in counted], pa.list_(pa.struct([("b", pa.int32()), ("n", pa.int32())])))
 
     # At most bins x languages sums, and as many rows of texts as the sample has.
-    texts = scratch.stage(few.select(F.col(lang_col).alias("lang"), bins(text_col).alias("x")), "trigrams")
+    texts = scratch.stage(few.select("lang", bins("text").alias("x")), "trigrams")
     table = np.full((BINS, len(languages)), 0.1)
-    for r in texts.select("lang", F.explode("x").alias("x")).groupBy("lang", "x.b").agg(F.sum("x.n").alias("n")).collect():
-        table[r.b, languages.index(r.lang)] += r.n
-    logs = np.log(table / table.sum(0)).astype(np.float32)
-
-    own = logs
+    sums = texts.select("lang", F.explode("x").alias("x")).groupBy("lang", "x.b").agg(F.sum("x.n").alias("n")).toArrow()
     which = {x: i for i, x in enumerate(languages)}
+    own = sums.column("lang").combine_chunks().dictionary_encode()
+    at = np.asarray([which[x] for x in own.dictionary.to_pylist()], np.int64)[own.indices.to_numpy()] if len(own) else np.empty(0, np.int64)
+    table[sums.column("b").to_numpy(), at] += sums.column("n").to_numpy()
+    logs = np.log(table / table.sum(0)).astype(np.float32)
 
-    @F.pandas_udf("double")
-    def mean(lang: pd.Series, x: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def mean(lang: pa.Array, x: pa.Array) -> pa.Array:
         out = []
-        for name, found in zip(lang, x):
-            b = np.asarray([f["b"] for f in found], np.int64)
-            n = np.asarray([f["n"] for f in found], float)
-            out.append(float((own[b, which[name]] * n).sum() / n.sum()) if n.sum() > 60 else None)
-        return pd.Series(out, dtype=float)
+        for name, found in zip(lang.to_pylist(), x.to_pylist()):
+            b, n = np.asarray([f["b"] for f in found], np.int64), np.asarray([f["n"] for f in found], float)
+            out.append(float((logs[b, which[name]] * n).sum() / n.sum()) if n.sum() > 60 else None)
+        return pa.array(out, pa.float64())
 
     low = texts.select(F.min(F.nanvl(mean("lang", "x"), F.lit(None)))).first()[0]
     return TextModel(languages, logs, (low if low is not None else -11.0) - MARGIN)
@@ -139,78 +154,93 @@ def suffix_of(host: Column) -> Column:
     return F.substring_index(host, ".", -1)
 
 
-def identify(rows: DataFrame, model: TextModel, text: Column, declared: Column, host: Column, markup: bool = False) -> DataFrame:
-    """``rows`` with a struct column ``__language``: lang, probability, text_lang, accepted."""
-    n = len(model.languages)
-    scratch.bound_batches(rows.sparkSession)
+def attached(rows: DataFrame, key: str, table: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ``column`` of the ``table`` (key, rows, column), by key.
+
+    Keys with more than a thousandth of all rows, a thousand at most, are
+    broadcast; only other rows meet the table by their key.
+    """
+    table = scratch.stage(table, "table")
+    total = table.agg(F.sum("rows")).first()[0] or 0
+    hot = F.broadcast(table.where(F.col("rows") * 1000 > total).select(key, F.col(column).alias("hot")))
+    rows = rows.join(hot, key, "left")
+    spread = F.when(F.col("hot").isNull(), F.col(key)).otherwise(F.concat(F.lit("\0"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(4096)).cast("string")))
+    cold = table.where(F.col("rows") * 1000 <= total).select(F.col(key).alias("cold_key"), F.col(column).alias("cold"))
+    joined = rows.withColumn("key", spread).join(cold, F.col("key") == F.col("cold_key"), "left")
+    return joined.withColumn(column, F.coalesce("hot", "cold")).drop("hot", "cold", "key", "cold_key")
+
 
-    @F.pandas_udf("array<double>")
-    def likelihoods(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if (e := model.evidence(visible(t) if markup else t)) is None else e - e.max() for t in texts])
+def identify(rows: DataFrame, model: TextModel, text: Column, declared: Column, host: Column, keep: Column, markup: bool = False) -> DataFrame:
+    """(row, lang, probability, text_lang, accepted): ``keep`` of every row, and its language.
 
-    keyed = rows.withColumns({"__host": F.coalesce(host, F.lit("")), "__declared": declared, "__ll": likelihoods(text)})
+    Texts go through the model once: what it says of them is written with ``keep`` before priors are taken of it.
+    """
+    n, languages = len(model.languages), model.languages
+    if not n:
+        none = F.lit(UNKNOWN)
+        return rows.select(keep.alias("row"), none.alias("lang"), F.lit(0.0).alias("probability"), none.alias("text_lang"), F.lit(False).alias("accepted"))
+
+    @F.arrow_udf("array<double>")
+    def likelihoods(texts: pa.Array) -> pa.Array:
+        return pa.array([None if (e := model.evidence(visible(t) if markup else t)) is None else e - e.max() for t in texts.to_pylist()], pa.list_(pa.float64()))
+
+    known = F.when(declared.isin(languages), declared)
+    with scratch.bounded_batches(rows.sparkSession):
+        scored = scratch.stage(rows.select(keep.alias("row"), F.coalesce(host, F.lit("")).alias("host"), known.alias("declared"), likelihoods(text).alias("ll")), "likelihoods")
     # Text posteriors in millionths: sums of integers come out alike in any order.
-    odds = F.transform("__ll", lambda x: F.exp(x))
+    odds = F.transform("ll", lambda x: F.exp(x))
     total = F.aggregate(odds, F.lit(0.0), lambda a, x: a + x)
-    shares = keyed.select("__host", "__declared", F.transform(odds, lambda x: F.round(x / total * 1_000_000).cast("long")).alias("s")).where("s is not null")
+    shares = scored.where("ll is not null").select("host", "declared", F.transform(odds, lambda x: F.round(x / total * 1_000_000).cast("long")).alias("s"))
     sums = [F.sum(F.col("s")[i]).alias(f"n{i}") for i in range(n)]
-    if not n:
-        empty = F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("probability"), F.lit(UNKNOWN).alias("text_lang"), F.lit(False).alias("accepted"))
-        return rows.withColumn("__language", empty)
-    hosts = scratch.stage(shares.groupBy("__host", F.when(F.col("__declared").isin(model.languages), F.col("__declared")).alias("d")).agg(*sums), "hosts")
     again = [F.sum(f"n{i}").alias(f"n{i}") for i in range(n)]
+    hosts = scratch.stage(shares.groupBy("host", "declared").agg(F.count(F.lit(1)).alias("rows"), *sums), "hosts")
     # Languages x languages and one row: both bounded.
     confusion = np.ones((n, n))
-    for r in hosts.where("d is not null").groupBy("d").agg(*again).collect():
-        confusion[model.languages.index(r.d)] += [r[f"n{i}"] / 1e6 for i in range(n)]
-    declared_logs = np.log(confusion / confusion.sum(0))
-    whole = hosts.agg(*again).first()
-    everywhere = np.asarray([(whole[i] or 0) / 1e6 for i in range(n)])
-
-    by_host = hosts.groupBy("__host").agg(*again).withColumns({"__domain": domain_of(F.col("__host")), "__suffix": suffix_of(F.col("__host"))})
-    level = lambda key, name: by_host.groupBy(key).agg(F.array(*[F.sum(f"n{i}") for i in range(n)]).alias(name))
-    priors = (
-        by_host.select("__host", "__domain", "__suffix", F.array(*[f"n{i}" for i in range(n)]).alias("__nh"))
-        .join(level("__domain", "__nd"), "__domain").join(level("__suffix", "__ns"), "__suffix").select("__host", "__nh", "__nd", "__ns")
+    for r in hosts.where("declared is not null").groupBy("declared").agg(*again).collect():
+        confusion[languages.index(r.declared)] += [r[f"n{i}"] / 1e6 for i in range(n)]
+    everywhere = [(x or 0) / 1e6 for x in hosts.agg(*again).first()]
+
+    by_host = hosts.groupBy("host").agg(F.sum("rows").alias("rows"), *again).withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    counts = F.array(*[F.col(f"n{i}") / 1e6 for i in range(n)])
+    level = lambda key, name: by_host.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.array(*[F.sum(f"n{i}") / 1e6 for i in range(n)]).alias(name))
+    priors = by_host.select("host", "rows", "domain", "suffix", counts.alias("of_host"))
+    priors = attached(attached(priors, "domain", level("domain", "of_domain"), "of_domain"), "suffix", level("suffix", "of_suffix"), "of_suffix")
+    priors = priors.select("host", "rows", F.struct("of_host", "of_domain", "of_suffix").alias("prior"))
+
+    joined = attached(scored, "host", priors, "prior").withColumn("own", F.transform(odds, lambda x: x / total))
+    prior = F.array(*[F.lit(1 / n)] * n)
+    for counted in (F.array(*map(F.lit, everywhere)), F.col("prior.of_suffix"), F.col("prior.of_domain"), F.col("prior.of_host")):
+        # A row's own share is taken out again.
+        joined = joined.withColumn("rest", F.zip_with(counted, "own", lambda a, b: F.greatest(a - b, F.lit(0.0))))
+        size = F.aggregate("rest", F.lit(0.0), lambda a, x: a + x) + STRENGTH
+        joined = joined.withColumn("p", prior).withColumn("p", F.zip_with("rest", "p", lambda a, b: a + STRENGTH * b)).withColumn("size", size)
+        joined, prior = joined.withColumn("p", F.transform("p", lambda x: x / F.col("size"))), F.col("p")
+    said = F.create_map(*[x for i, lang in enumerate(languages) for x in (F.lit(lang), F.array(*map(F.lit, confusion[i].tolist())))])[F.col("declared")]
+    in_all = F.array(*map(F.lit, confusion.sum(0).tolist()))
+    told = F.zip_with(F.zip_with(said, "own", lambda a, b: a - b), F.zip_with(in_all, "own", lambda a, b: a - b), lambda a, b: F.log(F.greatest(a, F.lit(1e-9)) / b))
+    logs = F.zip_with(F.zip_with("ll", "p", lambda a, b: a + F.log(b)), F.coalesce(told, F.array(*[F.lit(0.0)] * n)), lambda a, b: a + b)
+    joined = joined.withColumn("logs", logs)
+    top = F.array_max("logs")
+    joined = joined.withColumns({"best": F.array_position("logs", top).cast("int"), "text_best": F.array_position("ll", F.array_max("ll")).cast("int")})
+    joined = joined.withColumn("probability", 1 / F.aggregate(F.transform("logs", lambda x: F.exp(x - F.array_max("logs"))), F.lit(0.0), lambda a, x: a + x))
+    names, sure = F.array(*map(F.lit, languages)), F.coalesce(F.col("probability") > 0.5, F.lit(False))
+    return joined.select(
+        "row", F.when(sure, F.element_at(names, F.col("best"))).otherwise(UNKNOWN).alias("lang"), F.coalesce(F.round("probability", 6), F.lit(0.0)).alias("probability"),
+        F.when(F.col("ll").isNotNull(), F.element_at(names, F.col("text_best"))).otherwise(UNKNOWN).alias("text_lang"), sure.alias("accepted"),
     )
-    languages = list(model.languages)
-
-    @F.pandas_udf("lang string, probability double, text_lang string, accepted boolean")
-    def fuse(ll: pd.Series, declared: pd.Series, nh: pd.Series, nd: pd.Series, ns: pd.Series) -> pd.DataFrame:
-        out = []
-        for e, d, *counts in zip(ll, declared, nh, nd, ns):
-            if e is None:
-                out.append((UNKNOWN, 0.0, UNKNOWN, False))
-                continue
-            own = np.exp(e) / np.exp(e).sum()
-            prior = np.full(n, 1 / n)
-            for level_counts in (everywhere, *(np.asarray(c, float) / 1e6 for c in counts[::-1])):
-                rest = np.maximum(level_counts - own, 0)
-                prior = (rest + STRENGTH * prior) / (rest.sum() + STRENGTH)
-            logs = e + np.log(prior)
-            if d in languages:
-                logs = logs + declared_logs[languages.index(d)]
-            p = np.exp(logs - logs.max())
-            p /= p.sum()
-            best = int(p.argmax())
-            sure = bool(p[best] > 0.5)
-            out.append((languages[best] if sure else UNKNOWN, round(float(p[best]), 6), languages[int(np.argmax(e))], sure))
-        return pd.DataFrame(out, columns=["lang", "probability", "text_lang", "accepted"])
-
-    joined = keyed.join(scratch.stage(priors, "priors"), "__host", "left")
-    fused = joined.withColumn("__language", fuse("__ll", "__declared", "__nh", "__nd", "__ns"))
-    return fused.drop("__host", "__declared", "__ll", "__nh", "__nd", "__ns")
 
 
 def identify_pages(pages: DataFrame, labelled: DataFrame, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
     """Per page: lang, probability, text_lang (by text alone) and accepted."""
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("__url"), F.col(html_col).alias("__html"))
-    declared = F.lower(F.regexp_extract(F.coalesce("__html", F.lit("")), DECLARED, 1))
-    found = identify(rows, fit_text(labelled), F.col("__html"), declared, host_of(F.col("__url")), markup=True)
-    return found.select("page_id", "__language.*")
+    declared = F.lower(F.regexp_extract(F.coalesce(F.col(html_col), F.lit("")), DECLARED, 1))
+    found = identify(pages, fit_text(labelled), F.col(html_col), declared, host_of(F.col(url_col)), F.col(id_col), markup=True)
+    return found.withColumnRenamed("row", "page_id")
 
 
 def keep_identified(docs: DataFrame, text_col="text", lang_col="lang", source_col="source") -> DataFrame:
-    """The documents whose language is told, with their columns; sources stand for hosts."""
-    found = identify(docs, fit_text(docs), F.col(text_col), F.lower(F.col(lang_col)), F.col(source_col))
-    return found.where("__language.accepted").select(*docs.columns)
+    """The documents whose language is told by text and source, with their columns.
+
+    Sources stand for hosts.  The labels fit the text model and are no evidence of their own row besides.
+    """
+    found = identify(docs, fit_text(docs, text_col=text_col, lang_col=lang_col), F.col(text_col), F.lit(None).cast("string"), F.col(source_col), F.struct("*"))
+    return found.where("accepted").select("row.*")

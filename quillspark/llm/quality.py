@@ -8,28 +8,34 @@ sample of texts then train a logistic scorer on hashed token shapes, which
 decides for every document from its whole text.
 
 Defined results: a null or empty text gets no votes and the scorer's prior.
-Repeated rows get equal results.  An empty table gives an empty result.
+Repeated rows get equal results; a text of any length is judged whole; scores
+that tie with the threshold are kept.  An empty table gives an empty result.
+Columns of the input may have any names.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
+from .keyfilter import without
 
 #: Rows that train the scorer; those of least id hash.
 SAMPLE = 6000
 #: Size of the hashed feature space, as a power of two.
 BITS = 14
 KEEP_FROM = 0.5
+#: Letters of the longest word that a worker keeps the shape of.
+LONGEST_KEPT = 64
 
 SYMBOLS = frozenset("#%&*$|~^=<>{}[]@_\\")
 # Frequent function words of the corpus languages.
@@ -69,7 +75,8 @@ def votes(text: str | None) -> tuple[int, ...]:
         between(1 - sum(blocks) / len(blocks), 0.45, 0.6) if blocks else 0,
         between(max(counts.values()) / n, 0.15, 0.25) if n >= 20 else 0,
         between(counts.get("|", 0) / n, 0.0, 0.1),
-        (1 if plain >= 0.1 else -1 if plain < 0.02 else 0) if n >= 20 else 0,
+        # Prose of another script has none of these words, which says nothing.
+        (1 if plain >= 0.1 else -1 if plain < 0.02 and len(text.encode("ascii", "ignore")) > 0.7 * len(text) else 0) if n >= 20 else 0,
         between(n / max(ends, 1), 60, 100) if n >= 30 else 0,
     )
 
@@ -150,10 +157,9 @@ class Shapes:
         try:
             ids = np.asarray([known[w] for w in words], np.int64)
         except KeyError:
-            for w in set(words):
-                if w not in known:
-                    known[w] = zlib.crc32(shape(w).encode("utf-8", "surrogatepass"))
-            ids = np.asarray([known[w] for w in words], np.int64)
+            own = {w: known[w] if w in known else zlib.crc32(shape(w).encode("utf-8", "surrogatepass")) for w in set(words)}
+            known.update((w, n) for w, n in own.items() if len(w) <= LONGEST_KEPT)
+            ids = np.asarray([own[w] for w in words], np.int64)
         same = sum(map(str.__eq__, words, words[1:]))
         mask = (1 << BITS) - 1
         pairs = (ids[:-1] * 31 + ids[1:] * 17 + 7) & mask
@@ -190,48 +196,69 @@ class QualityModel:
     labels: LabelModel
     weights: np.ndarray
 
-    def judge(self, text: Column) -> Column:
-        """A struct of pattern, posterior (label model), score (linear scorer) and keep."""
-        labels, weights = self.labels, self.weights
+    def score(self, text: str | None) -> float:
+        """The linear scorer's probability."""
+        found, values = worker_shapes().of(text)
+        return round(float(1 / (1 + np.exp(-np.clip(values @ self.weights[found] + self.weights[-1], -50, 50)))), 6)
 
-        @F.pandas_udf("pattern string, posterior double, score double, keep boolean")
-        def judge(texts: pd.Series) -> pd.DataFrame:
-            shapes, out = worker_shapes(), []
-            for t in texts:
-                found, values = shapes.of(t)
-                out.append((votes(t), float(1 / (1 + np.exp(-np.clip(values @ weights[found] + weights[-1], -50, 50))))))
-            seen = np.asarray([v for v, _ in out], np.int64).reshape(-1, len(LABELLERS)) + 1
-            score = np.round([s for _, s in out], 6)
-            return pd.DataFrame({"pattern": [pattern(v) for v, _ in out], "posterior": np.round(labels.posterior(seen), 6), "score": score, "keep": score >= KEEP_FROM})
+    def judged(self, rows: DataFrame, id_type: str) -> DataFrame:
+        """(doc_id, pattern, posterior, score, keep) of rows (doc_id, text)."""
+        model = self
 
-        return judge(text)
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column(1).to_pylist()
+                seen = [votes(t) for t in texts]
+                posterior = np.round(model.labels.posterior(np.asarray(seen, np.int64).reshape(-1, len(LABELLERS)) + 1), 6)
+                score = np.asarray([model.score(t) for t in texts], float)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array([pattern(v) for v in seen], pa.string()), pa.array(posterior, pa.float64()), pa.array(score), pa.array(score >= KEEP_FROM)],
+                    ["doc_id", "pattern", "posterior", "score", "keep"],
+                )
 
+        return rows.mapInArrow(judge, f"doc_id {id_type}, pattern string, posterior double, score double, keep boolean")
 
-def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
-    """Label model from the votes on all documents; scorer from the posteriors of ``sample`` of them."""
+    def rejected(self, rows: DataFrame) -> DataFrame:
+        """(h1, h2) of rows (h1, h2, text) that the scorer doesn't keep; no votes are taken."""
+        model = self
 
-    scratch.bound_batches(docs.sparkSession)
+        def reject(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bad = pa.array([model.score(t) < KEEP_FROM for t in batch.column(2).to_pylist()], pa.bool_())
+                yield batch.select([0, 1]).filter(bad)
 
-    @F.pandas_udf("string")
-    def voted(texts: pd.Series) -> pd.Series:
-        return pd.Series([pattern(votes(t)) for t in texts])
+        return rows.mapInArrow(reject, "h1 long, h2 long")
 
-    counts = {r[0]: r[1] for r in docs.select(voted(text_col).alias("p")).groupBy("p").count().collect()}
-    labels = LabelModel.fit(counts)
 
-    chosen = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(id_col).alias("__h")).orderBy("__h").limit(sample)
-    bound = chosen.agg(F.max("__h")).first()[0]
+def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
+    """Label model from the votes on all documents; scorer from the posteriors of ``sample`` of them, the texts of least hash."""
+    docs = docs.select(F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
 
-    @F.pandas_udf("pattern string, cols array<long>, vals array<double>")
-    def features(texts: pd.Series) -> pd.DataFrame:
-        shapes = worker_shapes()
-        found = [shapes.of(t) for t in texts]
-        return pd.DataFrame({"pattern": [pattern(votes(t)) for t in texts], "cols": [c for c, _ in found], "vals": [v for _, v in found]})
+    def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pattern(votes(t)) for t in batch.column(0).to_pylist()], pa.string())], ["p"])
 
-    rows = [] if bound is None else (
-        docs.where(F.col(text_col).isNotNull() & (F.xxhash64(id_col) <= bound)).select(F.xxhash64(id_col).alias("h"), text_col)
-        .select("h", features(text_col).alias("x")).select("h", "x.*").orderBy("h", "pattern", "cols").limit(sample).collect()
-    )
+    with scratch.bounded_batches(docs.sparkSession):
+        counts = {r[0]: r[1] for r in docs.select("text").mapInArrow(voted, "p string").groupBy("p").count().collect()}
+    labels = LabelModel.fit(counts)
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            found = [worker_shapes().of(t) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([pattern(votes(t)) for t in texts], pa.string()), pa.array([c for c, _ in found], pa.list_(pa.int64())), pa.array([v for _, v in found], pa.list_(pa.float64()))],
+                ["h", "pattern", "cols", "vals"],
+            )
+
+    # Repeated rows share a hash: of them one is in the sample.
+    some = docs.where("text is not null")
+    bound = some.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    rows = []
+    if bound is not None:
+        chosen = scratch.stage(some.where(F.col("h") <= bound).dropDuplicates(["h"]), "sample")
+        with scratch.bounded_batches(docs.sparkSession):
+            rows = chosen.select("h", "text").mapInArrow(features, "h long, pattern string, cols array<long>, vals array<double>").orderBy("h").collect()
     seen = np.asarray([["-0+".index(c) for c in r["pattern"]] for r in rows], np.int64).reshape(-1, len(LABELLERS))
     target = labels.posterior(seen) if len(rows) else np.empty(0)
     return QualityModel(labels, train([(np.asarray(r["cols"], np.int64), np.asarray(r["vals"])) for r in rows], target))
@@ -239,11 +266,19 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: vote pattern, posterior of the label model, score and decision of the scorer."""
-    judged = docs.select(F.col(id_col).alias("doc_id"), fit(docs, id_col=id_col, text_col=text_col).judge(F.col(text_col)).alias("q"))
-    return judged.select("doc_id", "q.*")
+    model, rows = fit(docs, id_col=id_col, text_col=text_col), docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    with scratch.bounded_batches(docs.sparkSession):
+        return scratch.stage(model.judged(rows, rows.schema["doc_id"].dataType.simpleString()), "judged")
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that the scorer keeps, with their columns."""
-    model = fit(docs, id_col=id_col, text_col=text_col)
-    return docs.withColumn("__quality", model.judge(F.col(text_col))).where("__quality.keep").drop("__quality")
+    """The documents that the scorer keeps, with their columns.
+
+    What it says depends on the text alone: rejected texts are written by two
+    64-bit hashes, and the documents pass by those without going through Python.
+    """
+    model, key = fit(docs, id_col=id_col, text_col=text_col), ["h1", "h2"]
+    hashes = [F.xxhash64(text_col).alias("h1"), F.xxhash64(F.lit(1), F.col(text_col)).alias("h2")]
+    with scratch.bounded_batches(docs.sparkSession):
+        bad = scratch.stage(model.rejected(docs.select(*hashes, F.col(text_col).alias("text"))), "rejected")
+    return without(docs.select(F.struct("*").alias("row"), *hashes), scratch.stage(bad.distinct(), "rejected"), key).select("row.*")

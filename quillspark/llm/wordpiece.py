@@ -26,7 +26,8 @@ from . import tokens
 WORD = re.compile(r"\w+|[^\w\s]")
 #: How the piece vocabulary marks a word's beginning (a fixed value of the file).
 WORD_MARK = "▁"
-CACHE_WORDS = 500_000
+#: Words whose counts a task keeps, and the longest word that is kept.
+CACHE_WORDS, CACHE_LETTERS = 300_000, 64
 
 
 class Automaton:
@@ -107,9 +108,11 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col="doc_id", text
                 for w in words:
                     n = cache.get(w)
                     if n is None:
-                        if len(cache) >= CACHE_WORDS:
-                            cache.clear()
-                        n = cache[w] = match(w)
+                        n = match(w)
+                        if len(w) <= CACHE_LETTERS:
+                            if len(cache) >= CACHE_WORDS:
+                                cache.clear()
+                            cache[w] = n
                     if n:
                         total += n
                     else:
