@@ -1,17 +1,23 @@
 """Exact top-k by inner product: branch and bound over a vertical layout.
 
-Queries and candidates are cut into blocks by hash of their id, and each cell
+Every query first meets the same few candidates, those of the greatest mass,
+which gives it a threshold.  Candidates are cut into blocks of like mass, an
+eighth of a power of two apart, and queries into blocks by hash; a query goes
+to no block whose mass can't reach its threshold (Cauchy-Schwarz).  Each cell
 (query block x candidate block) is one group of bounded size.  Within a cell
 the candidates lie dimension by dimension; scores are accumulated a block of
-dimensions at a time, and after each block the candidates that cannot reach
-the query's threshold, by Cauchy-Schwarz on the mass of the dimensions left,
-are compacted away.  The cells' lists are merged by a ranked window.
+dimensions at a time, after each of which the threshold rises to the k-th best
+lower bound, and the candidates that cannot reach it, by the mass of the
+dimensions left, are compacted away.  The cells' lists are merged by a ranked
+window.
 
 Components are made integers, floor(64 x).  Vectors that are null or empty or
-hold null or non-finite components take no part, nor do rows without id.  The
-rows of one vec_id count once, with their least vector.  Vectors are compared
-with those of their own length only.  Scores are exact while the products stay
-within 63 bits; equal scores go to the smaller vec_id.
+hold null or non-finite components take no part, nor do rows without id.  Rows
+are candidates and queries each on their own, also where they repeat an id or a
+whole row; a query leaves out its own row alone.  Vectors are compared with
+those of their own length only.  Scores are exact while the products stay
+within 63 bits; equal scores go to the smaller vec_id.  An empty table gives an
+empty result.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,38 +28,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from . import scratch
+
 K, SCALE = 20, 64
-QUERY_BLOCK, CANDIDATE_BLOCK = 4096, 8192
+QUERY_BLOCK, CANDIDATE_BLOCK = 4096, 16_384
 DIMENSIONS_A_BLOCK = 16
-#: Candidates scored whole to give the first threshold.
-SEED = 256
+#: Candidates of a length that give the first thresholds, and lengths that get any (others begin without one).
+SEED, SEED_LENGTHS = 512, 16
+#: Levels of mass that a power of two is cut into; 64-bit squares have 63 powers.
+LEVELS = 8
 
 
 def quantized(vectors: DataFrame, id_col="vec_id", vec_col="embedding") -> DataFrame:
-    """(vec_id, v): integer components of the vectors that take part."""
+    """(row, vec_id, v, d, mass, level): integer components of the vectors that take part, the root of their squares' sum and its level."""
     x = F.col(vec_col).cast("array<double>")
     whole = F.col(id_col).isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & (F.abs(c) < float("inf")) & ~F.isnan(c))
     rows = vectors.where(whole).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * SCALE)).alias("v"))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    mass = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c))
+    rows = rows.withColumns({"row": F.monotonically_increasing_id(), "d": F.size("v"), "mass": mass})
+    return rows.withColumn("level", F.floor(F.log2(F.greatest("mass", F.lit(1.0))) * LEVELS).cast("int"))
 
 
-def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    ids = table.column("vec_id").to_numpy()
-    values = table.column("v").combine_chunks()
+def values_of(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    values = column.combine_chunks()
     values = pa.concat_arrays(values.chunks) if isinstance(values, pa.ChunkedArray) else values
-    return ids, values.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+    return values.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+
 
+def kth(values: np.ndarray, k: int) -> float:
+    return float(np.partition(values, len(values) - k)[len(values) - k]) if len(values) >= k else -np.inf
 
-def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, candidates: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query_id, vec_id, score) of each query's k best candidates but itself."""
+
+def search(queries: np.ndarray, own: np.ndarray, least: np.ndarray, ids: np.ndarray, rows: np.ndarray, candidates: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(number of the query, vec_id, score) of the candidates that may be among a query's k best; ``own`` has the queries' rows, ``least`` their thresholds."""
     n, d = candidates.shape
     reach = int(np.abs(queries).max(initial=0)) * int(np.abs(candidates).max(initial=0)) * d
     kind = np.float64 if reach < 1 << 52 else np.int64
-    mass = np.square(candidates.astype(np.float64))
-    # Heavy dimensions and long candidates first: bounds get tight early.
-    dims = np.argsort(-mass.sum(0), kind="stable")
-    rows = np.argsort(-mass.sum(1), kind="stable")
-    ids, vertical = ids[rows], np.ascontiguousarray(candidates[np.ix_(rows, dims)].T.astype(kind))
+    # Heavy dimensions first: bounds get tight early.
+    dims = np.argsort(-np.square(candidates.astype(np.float64)).sum(0), kind="stable")
+    vertical = np.ascontiguousarray(candidates[:, dims].T.astype(kind))
     queries = queries[:, dims].astype(kind)
     cuts = [*range(0, d, DIMENSIONS_A_BLOCK), d]
     left = [np.sqrt(np.square(vertical[c:].astype(np.float64)).sum(0)) for c in cuts[1:]]
@@ -61,41 +74,78 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, candidat
     out = []
     for at in range(0, len(queries), 64):
         some = queries[at : at + 64]
-        seeds = some @ vertical[:, :SEED]
         begun = some[:, : cuts[1]] @ vertical[: cuts[1]]
         for i in range(len(some)):
-            q, own = some[i], query_ids[at + i]
-            seed = seeds[i][ids[:SEED] != own]
-            least = np.partition(seed, len(seed) - k)[len(seed) - k] if len(seed) >= k else -np.inf
-            alive, partial = np.flatnonzero(ids != own), None
+            q, floor = some[i], least[at + i]
+            alive = np.flatnonzero(rows != own[at + i])
             partial = begun[i][alive]
             for b in range(len(cuts) - 1):
                 if b:
                     partial = partial + q[cuts[b] : cuts[b + 1]] @ vertical[cuts[b] : cuts[b + 1], alive]
-                upper = partial + left[b][alive] * query_left[b][at + i]
-                keep = upper + 0.5 + np.abs(upper) * 1e-9 >= least
+                rest = left[b][alive] * query_left[b][at + i]
+                slack = 0.5 + (np.abs(partial) + rest) * 1e-9
+                floor = max(floor, kth(partial - rest - slack, k))
+                keep = partial + rest + slack >= floor
                 alive, partial = alive[keep], partial[keep]
             if len(alive) > 4 * k:
-                least = np.partition(partial, len(partial) - k)[len(partial) - k]
-                alive, partial = alive[partial >= least], partial[partial >= least]
+                keep = partial >= kth(partial, k)
+                alive, partial = alive[keep], partial[keep]
             best = np.lexsort((ids[alive], -partial))[:k]
-            out += [(int(own), int(ids[alive[j]]), int(partial[j])) for j in best]
+            out += [(at + i, int(ids[alive[j]]), int(partial[j])) for j in best]
     return out
 
 
+def with_thresholds(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """``queries`` with ``least``, the k-th best score among the seeds, rows of the greatest mass of their length."""
+    lengths = [r.d for r in rows.groupBy("d").count().orderBy(F.desc("count")).limit(SEED_LENGTHS).collect()]
+    seeds = {}
+    for d in lengths:
+        found = rows.where(F.col("d") == d).orderBy(F.desc("mass"), "row").limit(SEED).select("row", "v").toArrow()
+        seeds[d] = (found.column("row").to_numpy(), values_of(found.column("v"), found.num_rows).astype(np.int64))
+
+    def least(batches):
+        for batch in batches:
+            out = np.full(batch.num_rows, -np.inf)
+            for i, (row, v) in enumerate(zip(batch.column("row").to_pylist(), batch.column("v"))):
+                q = np.asarray(v.values)
+                if len(q) in seeds:
+                    others, matrix = seeds[len(q)]
+                    out[i] = kth((matrix @ q)[others != row].astype(np.float64), k)
+            yield batch.append_column("least", pa.array(out))
+
+    return queries.mapInArrow(least, "row long, vec_id long, v array<long>, d int, mass double, least double")
+
+
 def top_k(vectors: DataFrame, every: int = 20, k: int = K, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
-    """For each vec_id divisible by ``every``: its k highest scores against all other rows."""
-    rows = quantized(vectors)
-    counts = vectors.agg(F.count(F.lit(1)), F.sum(F.when(F.col("vec_id") % every == 0, 1).otherwise(0))).first()
-    blocks, query_blocks = max(1, -(-counts[0] // candidate_block)), max(1, -(-(counts[1] or 0) // query_block))
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
-    queries = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v", F.size("v").alias("d"), block(query_blocks).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("cb"))
-    others = rows.select("vec_id", "v", F.size("v").alias("d"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("qb"), block(blocks).alias("cb"))
+    """For each row whose vec_id is divisible by ``every``: its k highest scores against all other rows."""
+    rows = scratch.stage(quantized(vectors), "vectors")
+    of_query = F.col("vec_id") % every == 0
+    query_blocks = max(1, -(-rows.where(of_query).count() // query_block))
+    # Lengths x levels, at most eight times 63 of each length.
+    levels = rows.groupBy("d", "level").agg(F.count(F.lit(1)).alias("n"), F.max("mass").alias("most"))
+    levels = levels.select("d", "level", "most", F.ceil(F.col("n") / candidate_block).alias("parts"))
+    queries = with_thresholds(rows.where(of_query).select("row", "vec_id", "v", "d", "mass"), rows, k)
+    levels = scratch.stage(levels, "levels")
+    cells = levels.groupBy("d").agg(F.collect_list(F.struct("level", "most", "parts")).alias("cells"))
+    needed = F.filter("cells", lambda c: c["most"] * F.col("mass") * (1 + 1e-9) + 0.5 >= F.col("least"))
+    numbers = F.flatten(F.transform(needed, lambda c: F.transform(F.sequence(F.lit(0).cast("long"), c["parts"] - 1), lambda p: F.struct(c["level"].alias("level"), p.alias("part")))))
+    queries = queries.join(cells, "d").withColumn("cell", F.explode(numbers)).withColumn("qb", F.pmod(F.xxhash64("row"), F.lit(query_blocks)))
+    queries = queries.select("row", "vec_id", "v", "d", "least", "qb", "cell.level", "cell.part")
+    others = rows.join(levels.select("d", "level", "parts"), ["d", "level"]).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
+    others = others.select("row", "vec_id", "v", "d", "level", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("qb"))
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = search(*matrix(left), *matrix(right), k) if left.num_rows and right.num_rows else []
-        return pa.Table.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(3)], ["query_id", "vec_id", "score"])
+        found = []
+        if left.num_rows and right.num_rows:
+            own, ids = left.column("row").to_numpy(), left.column("vec_id").to_numpy()
+            found = search(
+                values_of(left.column("v"), left.num_rows), own, left.column("least").to_numpy(),
+                right.column("vec_id").to_numpy(), right.column("row").to_numpy(), values_of(right.column("v"), right.num_rows), k,
+            )
+            found = [(int(own[i]), int(ids[i]), vec_id, score) for i, vec_id, score in found]
+        return pa.Table.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(4)], ["query", "query_id", "vec_id", "score"])
 
-    found = queries.groupBy("d", "qb", "cb").cogroup(others.groupBy("d", "qb", "cb")).applyInArrow(cell, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    keys = ["d", "level", "part", "qb"]
+    found = queries.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInArrow(cell, "query long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
