@@ -6,11 +6,15 @@ the frame), then the seek table, so one record is read by decompressing one
 frame.  Bundles are written under a name fixed by the task's partition and put
 in place by one move, so a repeated task replaces its own file whole.
 
+Which bundle and frame hold a record is read from the indexes alone, so records
+are fetched by id from any number of bundles, a frame each.
+
 Defined results: a null html is an empty payload; a null url is written as
 ``about:blank``; a record without id keeps a null id, and within a group of
 equal payloads it revisits the largest id, if there is one.  Rows that repeat
-the largest id of their payload are each a response.  An empty table gives no
-bundles and an empty result.
+the largest id of their payload are each a response.  A very long html is one
+record in a frame of its own.  An empty table gives no bundles and an empty
+result.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch
+from .keyfilter import marked
 
 # Fixed values of the Zstandard seekable format.
 SKIPPABLE_SEEK_TABLE = 0x184D2A5E
@@ -173,21 +178,30 @@ class BundleReader:
 def mark_revisits(pages: DataFrame, least: int = 0, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
     """Each page with its payload's digest and, if it repeats a payload of at least ``least`` bytes, the page it refers to.
 
-    The keeper of every payload comes from one pre-aggregated pass over ids and
-    digests; the join back is a plain equi-join that adaptive execution splits
-    where one payload has many copies.
+    Digests that stand once are told by a bounded filter, and their pages are
+    not shuffled.  Of the others, those that keep the payload are met by digest
+    and id, and those that refer to it go without their html, so copies of one
+    payload, however many, never meet with it in one place.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"),
         F.sha1(html).alias("digest"), F.octet_length(html).cast("long").alias("size"),
     )
-    keepers = rows.groupBy("digest", "size").agg(F.max("page_id").alias("keeper"))
-    own = (F.col("size") < least) | F.col("keeper").isNull() | F.col("keeper").eqNullSafe(F.col("page_id"))
-    return rows.join(keepers, ["digest", "size"]).select(
-        "page_id", "url", "size", "digest", F.when(own, F.col("html")).alias("html"),
-        F.when(~own, F.col("keeper")).alias("refers_to"),
-    )
+    repeated = rows.groupBy("digest", "size").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
+    repeated = scratch.stage(repeated.where((F.col("n") > 1) & (F.col("size") >= least) & F.col("keeper").isNotNull()).select("digest", "size", "keeper"), "repeated")
+    told = marked(rows, repeated, ["digest", "size"])
+    columns = ["page_id", "url", "size", "digest", "html"]
+    # Kept: pages that no copy has, and of repeated payloads the keepers.
+    alone = told.where(~F.col("maybe")).select(*columns)
+    some = told.where("maybe").select(*columns)
+    first = some.join(repeated.withColumnRenamed("keeper", "page_id"), ["digest", "size", "page_id"], "left_semi").select(*columns)
+    narrow = some.drop("html").join(repeated, ["digest", "size"], "left")
+    missed = narrow.where("keeper is null").groupBy("digest", "size").agg(F.lit(1).alias("x")).drop("x")
+    others = some.join(scratch.stage(missed, "missed"), ["digest", "size"], "left_semi").select(*columns)
+    kept = alone.unionByName(first).unionByName(others).withColumn("refers_to", F.lit(None).cast("long"))
+    again = narrow.where("keeper is not null and not (keeper <=> page_id)").select("page_id", "url", "size", "digest", F.lit(None).cast("string").alias("html"), F.col("keeper").alias("refers_to"))
+    return kept.unionByName(again)
 
 
 def write_archives(pages: DataFrame, uri: str, least: int = 0, frame_bytes: int = 1 << 18, bundle_bytes: int = 1 << 28, **columns) -> DataFrame:
@@ -238,6 +252,32 @@ def read_archives(bundles: DataFrame, payloads: bool = False) -> DataFrame:
     return files.mapInArrow(read, ", ".join(f"{k} {names[t]}" for k, t in kinds))
 
 
+def record_map(bundles: DataFrame) -> DataFrame:
+    """(page_id, file, frame, at, size) of all records, from the bundles' indexes; no frame is read.  Records without id have a null one."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                index = BundleReader(file).index
+                for i in range(0, len(index), 1 << 16):
+                    null, own, *place = zip(*index[i : i + (1 << 16)])
+                    ids = [None if n else x for n, x in zip(null, own)]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([file] * len(ids)), *(pa.array(c, pa.int64()) for c in place)], ["page_id", "file", "frame", "at", "size"])
+
+    return bundles.select("file").mapInArrow(read, "page_id long, file string, frame long, at long, size long")
+
+
+def fetch(places: DataFrame, ids: DataFrame) -> DataFrame:
+    """(page_id, record) of the records of some ids, by their rows in a :func:`record_map`; each needed frame is read once."""
+
+    def read(group: pa.Table) -> pa.Table:
+        data = BundleReader(group.column("file")[0].as_py()).frame(group.column("frame")[0].as_py())
+        records = [data[at : at + size] for at, size in zip(group.column("at").to_pylist(), group.column("size").to_pylist())]
+        return pa.table({"page_id": group.column("page_id"), "record": pa.array(records, pa.binary())})
+
+    return places.join(ids.select("page_id").distinct(), "page_id").groupBy("file", "frame").applyInArrow(read, "page_id long, record binary")
+
+
 def archive_pages(pages: DataFrame, uri: str | None = None, least: int = 0) -> DataFrame:
     """Write all pages as archives, then read the archives back."""
     spark: SparkSession = pages.sparkSession
