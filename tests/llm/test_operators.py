@@ -108,6 +108,18 @@ def test_tokens_are_those_of_the_tokenizer():
         assert got == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_tokens_of_random_texts(monkeypatch):
+    """Any mix of capitals, marks, stops and odd spaces, with a cache too small for it and texts cut into parts."""
+    own = tokens.WordCachedTokenizer(tokens.vocabulary("word_bpe_49k.json"), 1 << 16)
+    rng = np.random.default_rng(2)
+    letters = list("aAbEsStTİıŉΣσςßK’“.,;!-_#<|>0123 \t\n\r\x0b\x1c\x85\xa0éÉÿŸ×²ªĲſ漢🙂") + ["\u0301", "\u0307", "\u200b", "<|endoftext|>", "</w>", "'ll", "GELDİ.", "word. "]
+    for k in range(3000):
+        if k == 2500:
+            monkeypatch.setattr(tokens, "SLICE", 16)
+        text = "".join(rng.choice(letters, rng.integers(0, 40)))
+        assert np.frombuffer(own.ids([text, ""])[0], "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 1000, 4096, 5001])
 def test_feistel_is_a_permutation(n):
     out = training_order.feistel(np.arange(n), n, 7)
@@ -137,15 +149,17 @@ def test_top_k(spark):
     rng = np.random.default_rng(3)
     rows = [(int(i), [float(x) for x in rng.normal(size=24)]) for i in range(400)]
     rows += [(500 + i, rows[0][1]) for i in range(60)] + [(700, None), (720, []), (721, [1.0, None]), (722, [float("nan")] * 24), (740, [1.0, 2.0]), (741, [2.0, 1.0]), (None, rows[1][1]), (20, rows[20][1])]
+    rows += [(21, rows[3][1]), (21, rows[40][1]), (40, rows[40][1])]  # repeated ids: other rows
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, score string")
-    good = {i: np.floor(64 * np.asarray(v, np.float32).astype(np.float64)).astype(np.int64) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
-    want = set()
-    for q in (i for i in good if i % 20 == 0):
-        scored = sorted((-int(good[q] @ v), i) for i, v in good.items() if i != q and len(v) == len(good[q]))[:20]
-        want |= {(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored)}
+    good = [(i, np.floor(64 * np.asarray(v, np.float32).astype(np.float64)).astype(np.int64)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    want = []
+    for at, (q, x) in enumerate(good):
+        if q % 20 == 0:
+            scored = sorted((-int(x @ v), i) for n, (i, v) in enumerate(good) if n != at and len(v) == len(x))[:20]
+            want += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored)]
     for blocks in ((4096, 8192), (7, 50)):
-        got = {tuple(r) for r in topk.top_k(df, query_block=blocks[0], candidate_block=blocks[1]).collect()}
-        assert got == want
+        got = sorted(tuple(r) for r in topk.top_k(df, query_block=blocks[0], candidate_block=blocks[1]).collect())
+        assert got == sorted(want)
 
 
 def brute_components(rows, n, percent):
@@ -193,10 +207,43 @@ def test_ngram_join_keeps_chains_and_stars(spark):
 
 
 def test_keep_one(docs):
+    """One row of each component; rows of one id with different texts go by their own text."""
     left = ngram_join.keep_one(docs)
     assert left.columns == docs.columns
-    want = [i for i, _, c in brute_components(pairs_of(docs, "doc_id", "text"), 5, 80) if i == c]
-    assert sorted(r.doc_id for r in left.collect()) == sorted(set(want))
+    rows = pairs_of(docs, "doc_id", "text")
+    root = {k: c for k, _, c in brute_components([(k, t) for k, (_, t) in enumerate(rows)], 5, 80)}
+    groups = defaultdict(list)
+    for k, c in root.items():
+        groups[c].append(rows[k][0])
+    assert sorted(r.doc_id for r in left.collect()) == sorted(min(ids) for ids in groups.values())
+
+
+def test_keep_one_decides_per_row(spark):
+    words = [f"a{i}" for i in range(30)]
+    rows = [(1, " ".join(words)), (1, "completely other words than those of the first row here"), (2, " ".join(words[:-1] + ["z"])), (None, " ".join(words)), (None, None), (3, None), (3, None)]
+    docs = spark.createDataFrame([(*r, "g") for r in rows], "doc_id long, text string, __gone string")
+    assert sorted(map(str, (tuple(r)[:2] for r in ngram_join.keep_one(docs).collect()))) == sorted(map(str, [rows[0], rows[1], rows[3], rows[4], rows[5], rows[6]]))
+
+
+def test_ngram_join_of_families_of_families(spark):
+    """Families whose leaders are far apart, with lists longer than those that are expanded."""
+    rng, rows, bases = np.random.default_rng(7), [], [[f"b{k}" for k in range(150)]]
+    for g in range(3):
+        base = list(bases[rng.integers(0, len(bases))])
+        for k in rng.choice(150, 18, replace=False):
+            base[k] = f"g{g}e{k}"
+        bases.append(base)
+    for base in bases:
+        for _ in range(60):
+            own = list(base)
+            for k in rng.integers(0, 150, rng.integers(0, 7)):
+                own[k] = f"z{rng.integers(0, 12)}"
+            rows.append((len(rows), " ".join(own)))
+    for i in range(120):  # one passage, few own words
+        rows.append((len(rows), " ".join([f"p{k}" for k in range(40)] + [f"u{i}x{k}" for k in range(i % 5)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for n, percent in ((3, 90), (2, 50)):
+        assert sorted(tuple(r) for r in ngram_join.jaccard_components(df, n, percent).collect()) == brute_components(rows, n, percent)
 
 
 def test_word_pieces_match_greedy(docs):
@@ -267,7 +314,7 @@ def test_decontamination(spark, docs):
 
 def test_warc_round_trip(spark):
     rows = [(i, f"http://h/{i}", "<p>é" + "x" * (i % 7) * 50) for i in range(200)]
-    rows += [(300, None, None), (301, "u\r\nInjected: 1", ""), (None, "n", "alone"), (None, "n", "<p>é"), (-5, "neg", "minus"), (400, "v", "long " * 400_000)]
+    rows += [(300, None, None), (199, "again", "<p>é" + "x" * 150), (301, "u\r\nInjected: 1", ""), (None, "n", "alone"), (None, "n", "<p>é"), (-5, "neg", "minus"), (400, "v", "long " * 400_000)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string").repartition(3)
     index = warc.write_archives(df, scratch.fresh(spark, "w"), frame_bytes=2000)
     back = [r.asDict() for r in warc.read_archives(index, payloads=True).collect()]
@@ -282,11 +329,17 @@ def test_warc_round_trip(spark):
         want.append((i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if own else "revisit", None if own else keep))
     got = [tuple(r[k] for k in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in back]
     assert sorted(map(str, got)) == sorted(map(str, want))
-    file = index.where("records > 3").first().file
+    file = index.orderBy(F.desc("records")).first().file
     reader = warc.BundleReader(file)
     assert len(reader.frames) > 1
     some = [x for x in reader.records() if x["page_id"] is not None][-1]
     assert reader.find(some["page_id"]) == some and reader.find(99999) is None
+    # Any record by its id, whatever bundle holds it.
+    places = warc.record_map(index)
+    assert places.count() == len(rows)
+    wanted = [7, 300, -5, 400, 99999]
+    found = {r.page_id: warc.parse_record(r.record) for r in warc.fetch(places, spark.createDataFrame([(i,) for i in wanted], "page_id long")).collect()}
+    assert set(found) == {7, 300, -5, 400} and all(found[i] == {r["page_id"]: r for r in back}[i] | {"payload": found[i]["payload"]} for i in found)
     # The frames are one Zstandard stream to any other reader.
     import zstandard
 
