@@ -1,4 +1,14 @@
-"""A corpus pipeline: quality, language, near copies, benchmark leaks, packing."""
+"""A corpus pipeline: quality, language, near copies, benchmark leaks, packing.
+
+Defined results.  Null and empty texts: the scorer's prior decides in the first
+stage, and the second drops them, as no language is told.  Rows without a
+doc_id link with nothing in the third stage and go on; of repeated rows one
+stays, and of one id with different texts each goes by its own text.  Very long
+texts are read whole in every stage.  Ties: of near copies the least doc_id
+stays, then the least hash of the text.  An empty table of documents gives no
+rows, an empty benchmark leaves all documents clean.  Documents may have more
+columns, of any names; all stages but the last return them.
+"""
 
 from __future__ import annotations
 
@@ -25,8 +35,7 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
-    found = decontaminate.contaminated_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("spans") == 0).select("__row.*")
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
