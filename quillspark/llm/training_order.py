@@ -5,7 +5,8 @@ scan of the table), a keyed Feistel permutation with cycle walking turns it
 into a global slot, and each range of slots is written by one task as shards
 of a fixed stride: shard ``s`` holds slots ``s * stride`` and up, so the place
 of any slot follows by arithmetic and a reader resumes at any slot.  The ids
-of a shard lie one after another, with a table of offsets behind them.
+of a shard lie one after another, with a table of offsets behind them, and are
+written as they come: no more than one document's ids stand in memory.
 
 The order depends on the key and on the order of the table's files; written
 shards never change.  Texts move once through a shuffle and are tokenized
@@ -13,6 +14,8 @@ behind it, so no task holds more than its range of slots.
 
 Defined results: a null or empty text is a sequence without ids; repeated rows
 are sequences of their own; a null id is kept; an empty table gives no shards.
+A very long text is one sequence.  Other columns are not read, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ STRIDE = 1024
 SHARDS_A_TASK = 4
 ROUNDS = 6
 MAGIC = b"QSHARD01"
-HEAD = struct.Struct("<8sqqqq")  # magic, first slot, sequences, bytes of an id, ids
+FOOT = struct.Struct("<8sqqqq")  # magic, first slot, sequences, bytes of an id, ids
 
 
 def feistel(index: np.ndarray, n: int, key: int, inverse: bool = False) -> np.ndarray:
@@ -62,22 +65,32 @@ def feistel(index: np.ndarray, n: int, key: int, inverse: bool = False) -> np.nd
     return out.astype(np.int64)
 
 
-def write_shard(uri: str, first: int, doc_ids: list, ids: list[np.ndarray], width: int) -> None:
-    """One shard, put in place by one move: head, ids, then offsets, document ids and checksums."""
-    fs, path = pafs.FileSystem.from_uri(uri)
-    fs.create_dir(path.rpartition("/")[0], recursive=True)
-    tmp = f"{path}.{uuid.uuid4().hex}.tmp"
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("<i8")
-    packed = [x.astype(f"<u{width}").tobytes() for x in ids]
-    with fs.open_output_stream(tmp, compression=None) as out:
-        out.write(HEAD.pack(MAGIC, first, len(ids), width, int(offsets[-1])))
-        for x in packed:
-            out.write(x)
-        out.write(offsets.tobytes())
-        out.write(np.asarray([x is not None for x in doc_ids], "<i8").tobytes())
-        out.write(np.asarray([x or 0 for x in doc_ids], "<i8").tobytes())
-        out.write(np.asarray([zlib.crc32(x) for x in packed], "<i8").tobytes())
-    fs.move(tmp, path)
+class ShardWriter:
+    """One shard, put in place by one move: ids, then offsets, document ids and checksums, then the foot."""
+
+    def __init__(self, uri: str, first: int, width: int):
+        self.uri, self.first, self.width = uri, first, width
+        self.fs, self.path = pafs.FileSystem.from_uri(uri)
+        self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
+        self.tmp = f"{self.path}.{uuid.uuid4().hex}.tmp"
+        self.out = self.fs.open_output_stream(self.tmp, compression=None)
+        self.doc_ids, self.offsets, self.crc32 = [], [0], []
+
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        data = ids.astype(f"<u{self.width}").tobytes()
+        self.out.write(data)
+        self.doc_ids.append(doc_id)
+        self.offsets.append(self.offsets[-1] + len(ids))
+        self.crc32.append(zlib.crc32(data))
+
+    def close(self) -> int:
+        known, ids = [x is not None for x in self.doc_ids], [x or 0 for x in self.doc_ids]
+        for column in (self.offsets, known, ids, self.crc32):
+            self.out.write(np.asarray(column, "<i8").tobytes())
+        self.out.write(FOOT.pack(MAGIC, self.first, len(ids), self.width, self.offsets[-1]))
+        self.out.close()
+        self.fs.move(self.tmp, self.path)
+        return len(ids)
 
 
 class Shard:
@@ -86,10 +99,10 @@ class Shard:
     def __init__(self, uri: str):
         fs, path = pafs.FileSystem.from_uri(uri)
         self.file = fs.open_input_file(path)
-        magic, self.first, self.count, self.width, total = HEAD.unpack(self.file.read_at(HEAD.size, 0))
+        magic, self.first, self.count, self.width, total = FOOT.unpack(self.file.read_at(FOOT.size, self.file.size() - FOOT.size))
         if magic != MAGIC:
             raise ValueError(f"not a shard: {uri}")
-        tail = np.frombuffer(self.file.read_at(8 * (4 * self.count + 1), HEAD.size + self.width * total), "<i8")
+        tail = np.frombuffer(self.file.read_at(8 * (4 * self.count + 1), self.width * total), "<i8")
         self.offsets, rest = tail[: self.count + 1], tail[self.count + 1 :]
         known, ids, self.crc32 = rest.reshape(3, self.count)
         self.doc_ids = [int(i) if k else None for k, i in zip(known, ids)]
@@ -97,7 +110,7 @@ class Shard:
     def ids(self, slot: int) -> np.ndarray:
         n = slot - self.first
         at, to = int(self.offsets[n]), int(self.offsets[n + 1])
-        return np.frombuffer(self.file.read_at(self.width * (to - at), HEAD.size + self.width * at), f"<u{self.width}")
+        return np.frombuffer(self.file.read_at(self.width * (to - at), self.width * at), f"<u{self.width}")
 
 
 def materialise(docs: DataFrame, uri: str, key: int = 1, stride: int = STRIDE, ranks: str | None = None, id_col="doc_id", text_col="text") -> DataFrame:
@@ -112,38 +125,30 @@ def materialise(docs: DataFrame, uri: str, key: int = 1, stride: int = STRIDE, r
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), place.alias("place"))
         # One count a scan partition.
         sizes = {r[0]: r[1] for r in rows.groupBy(F.shiftright("place", 33).alias("p")).count().collect()}
-        total, before = 0, {}
-        for p in sorted(sizes):
-            before[p], total = total, total + sizes[p]
+        # Two longs a scan partition go along with the numbering.
+        known = np.asarray(sorted(sizes), np.int64)
+        counts = np.asarray([sizes[p] for p in known.tolist()], np.int64)
+        total, starts = int(counts.sum()), np.cumsum(counts) - counts
 
         @F.pandas_udf("long")
         def slot_of(place: pd.Series) -> pd.Series:
             at = place.to_numpy(np.int64)
-            parts, which = np.unique(at >> 33, return_inverse=True)
-            starts = np.asarray([before[int(p)] for p in parts], np.int64)
-            return pd.Series(feistel(starts[which] + (at & ((1 << 33) - 1)), total, key))
+            return pd.Series(feistel(starts[np.searchsorted(known, at >> 33)] + (at & ((1 << 33) - 1)), total, key))
 
         def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             encoding = tokens.byte_tokenizer(ranks)
             width = 2 if encoding.n_vocab <= 1 << 16 else 4
-            shard, doc_ids, ids, done = -1, [], [], []
-
-            def close():
-                if doc_ids:
-                    file = f"{uri}/shard-{shard:010d}.bin"
-                    write_shard(file, shard * stride, doc_ids, ids, width)
-                    done.append((file, shard, len(doc_ids)))
-                doc_ids.clear()
-                ids.clear()
-
+            out, shard, done = None, -1, []
             for batch in batches:
                 for doc_id, text, slot in zip(*(batch.column(i).to_pylist() for i in range(3))):
                     if slot // stride != shard:
-                        close()
+                        if out:
+                            done.append((out.uri, shard, out.close()))
                         shard = slot // stride
-                    doc_ids.append(doc_id)
-                    ids.append(np.asarray(encoding.encode_ordinary(text), np.uint32))
-            close()
+                        out = ShardWriter(f"{uri}/shard-{shard:010d}.bin", shard * stride, width)
+                    out.add(doc_id, np.asarray(encoding.encode_ordinary(text), np.uint32))
+            if out:
+                done.append((out.uri, shard, out.close()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*done)) or [[], [], []], (pa.string(), pa.int64(), pa.int64()))], ["file", "shard", "sequences"])
 
         a_task = stride * SHARDS_A_TASK

@@ -6,9 +6,11 @@ longest pieces of the prefix read so far are popped) and the number of pieces
 popped on that way, so a word's count comes from one pass over its characters
 and no piece is built.
 
-Words are runs of letters, digits and marks, and single other characters, as
-lower-cased.  A word that no pieces cover is one unknown token.  Null and
-empty texts have no words.  Repeated rows each get their row.
+Words are runs of letters, digits and underscores, and single other characters
+(combining marks among them), as lower-cased.  A word that no pieces cover is
+one unknown token.  Null and empty texts have no words, very long ones are read
+whole.  Repeated rows each get their row.  An empty table gives an empty result.
+Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
