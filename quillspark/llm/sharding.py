@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from . import scratch
+
 #: Multiplier of the generator in the published jump hash.
 JUMP_LCG = 2862933555777941757
 NULL_KEY = -0x61C8864680B583EB
@@ -53,15 +55,15 @@ def jump_column(key, shards: int):
     return shard_of(F.coalesce(F.col(key) if isinstance(key, str) else key, F.lit(NULL_KEY)).cast("long"))
 
 
-def number_within(df: DataFrame, group: str, key: str, order: list[str], into: str) -> DataFrame:
-    """Gapless numbers from 0 within each ``group``, in order of (hash bucket of ``key``, ``order``).
+def number_within(df: DataFrame, group: str, order: list[str], into: str) -> DataFrame:
+    """Gapless numbers from 0 within each ``group``, in order of (hash bucket of ``order``, ``order``).
 
     A group may hold any share of the rows: it is cut into hash buckets that are
     sorted apart, and only a table of groups x buckets counts (bounded by the
     number of shuffle partitions) is broadcast.
     """
     buckets = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = df.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    rows = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     sizes = rows.groupBy(group, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = W.partitionBy(group).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
     sizes = sizes.select(group, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
@@ -85,5 +87,6 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
         jump_column(id_col, shards).alias("shard"),
         jump_column(id_col, shards + 1).alias("grown_shard"),
     )
-    out = number_within(rows, "shard", "doc_id", ["doc_id", "text_crc32", "size"], "slot")
+    # Written once: the slots take two passes.
+    out = number_within(scratch.stage(rows, "shards"), "shard", ["doc_id", "text_crc32", "size"], "slot")
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
