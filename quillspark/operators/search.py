@@ -36,11 +36,12 @@ def corpus_stats(docs: DataFrame, text: Column) -> DataFrame:
 
 def held_terms(docs: DataFrame, key: str, text: Column, terms: list[str]) -> DataFrame:
     """(key, dl, held): every document's length and its occurrences of the terms, written once."""
-    cut, path = docs.select(key, T.tokens(text).alias("t")), workspace.fresh(docs.sparkSession, "held")
+    path = workspace.fresh(docs.sparkSession, "held")
     for at in range(0, max(1, len(terms)), TERMS_A_SCAN):
         some = F.array(*map(F.lit, terms[at : at + TERMS_A_SCAN])).cast("array<string>")
-        held = cut.select(key, F.size("t").cast("long").alias("dl"), F.filter("t", lambda t: F.array_contains(some, t)).alias("held"), F.lit(at).alias("scan"))
-        held.write.mode("append").parquet(path)
+        # In one lambda the tokens are cut once; as a column of their own they would be for each use.
+        told = F.transform(F.array(T.tokens(text)), lambda t: F.struct(F.size(t).cast("long").alias("dl"), F.filter(t, lambda x: F.array_contains(some, x)).alias("held")))[0]
+        docs.select(key, told.alias("x")).select(key, "x.*", F.lit(at).alias("scan")).write.mode("append").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
