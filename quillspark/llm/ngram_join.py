@@ -143,7 +143,8 @@ class NgramJoin:
         prefix = ranked.withColumn("p", F.expr(f"slice({self.ordered('rare', SEEDS[0])}, 1, {self.prefix_size()})"))
         # A hard node has a negative size: one column less to move.
         posted = prefix.select("f", F.expr("if(hard, -n, n)").alias("n"), F.explode_outer("p").alias("t")).where("t is not null")
-        lists = posted.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("f", "n"))).alias("m"))
+        # Dealt by token before the lists are made: lists of one take several times the room of a row.
+        lists = posted.repartition(F.col("t")).groupBy("t").agg(F.sort_array(F.collect_list(F.struct("f", "n"))).alias("m"))
         pairs = lists.where("size(m) > 1").select(
             F.explode_outer(
                 F.expr(
