@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from . import scratch
+from . import scratch, tokens
 
 #: Labelled documents a language that fit the text model, and the most languages that its table is made for; more raise an error.
 SAMPLE, MAX_LANGUAGES = 500, 512
@@ -182,6 +182,7 @@ def identify(rows: DataFrame, model: TextModel, text: Column, declared: Column,
 
     @F.arrow_udf("array<double>")
     def likelihoods(texts: pa.Array) -> pa.Array:
+        tokens.forget()
         return pa.array([None if (e := model.evidence(visible(t) if markup else t)) is None else e - e.max() for t in texts.to_pylist()], pa.list_(pa.float64()))
 
     known = F.when(declared.isin(languages), declared)

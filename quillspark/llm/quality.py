@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import scratch, tokens
 from .keyfilter import without
 
 #: Rows that train the scorer; those of least id hash.
@@ -223,6 +223,7 @@ class QualityModel:
         model = self
 
         def reject(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tokens.forget()
             for batch in batches:
                 bad = pa.array([model.score(t) < KEEP_FROM for t in batch.column(2).to_pylist()], pa.bool_())
                 yield batch.select([0, 1]).filter(bad)
@@ -235,6 +236,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
     docs = docs.select(F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([pattern(votes(t)) for t in batch.column(0).to_pylist()], pa.string())], ["p"])
 

@@ -165,6 +165,11 @@ def word_tokenizer(path: str) -> WordCachedTokenizer:
     return WordCachedTokenizer(path)
 
 
+def forget() -> None:
+    """Lets go of a worker's words: other stages call it, as workers are used again."""
+    word_tokenizer.cache_clear()
+
+
 @lru_cache(maxsize=4)
 def byte_tokenizer(path: str):
     """A tiktoken encoding of a rank file, without special tokens."""
