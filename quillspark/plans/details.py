@@ -222,7 +222,7 @@ def stm02(spark, d):
     return docs(spark, d).join(done, "doc_id", "left").select("doc_id", F.col("ok").isNull().alias("pending"))
 
 
-@query("udf04_tool_schema")
+@query("udf04_tool_schema", """SELECT 'search_knowledge' AS name, '{"name": "search_knowledge", "description": "Segments that fit the keywords best.", "parameters": {"type": "object", "properties": {"keywords": {"type": "string"}, "max_results": {"type": "integer"}}, "required": ["keywords"], "additionalProperties": false}}' AS schema""")
 def udf04(spark, d):
     """Also UDF03 and JSN03: schemas of the registered tools."""
     import json
@@ -244,7 +244,7 @@ def udf06(spark, d):
     return book.listed().select(F.col("claim_id").cast("int").alias("claim_id"), "text", F.col("support").cast("int").alias("support"))
 
 
-@query("str03_encoder_count")
+@query("str03_encoder_count", "SELECT doc_id, CAST(coalesce(list_sum(list_transform(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), lambda x: (length(x) + 3) // 4)), 0) AS BIGINT) AS tokens FROM documents")
 def str03(spark, d):
     """Counts by an injected encoder; here one that cuts words into pieces of four characters."""
     encode = lambda t: [w[i : i + 4] for w in t.split() for i in range(0, len(w), 4)]
@@ -290,4 +290,4 @@ def win14(spark, d):
     from .relational import takes
 
     rank = F.row_number().over(W.partitionBy("page").orderBy("pos"))
-    return consensus.consensus(takes(spark, d).where("page < 200")).select("page", rank.alias("rank"), "text", "members")
+    return consensus.consensus(takes(spark, d)).select("page", rank.alias("rank"), "text", "members")
