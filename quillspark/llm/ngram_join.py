@@ -75,7 +75,7 @@ class NgramJoin:
     def __init__(self, docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"):
         self.n, self.percent, self.spark = n, percent, docs.sparkSession
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        zone = min(1.0, 0.025 * (100 - percent))
+        zone = min(1.0, 0.02 * (100 - percent))
         #: Tokens are hashes: below this bound they are in the counted zone.
         self.zone = f"x < {int(zone * 2**64) - 2**63}L" if zone < 1 else "true"
         sets = with_shingles(self.docs, n)
