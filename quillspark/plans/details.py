@@ -11,7 +11,7 @@ from ..operators import chat, compose, consensus, ledger, sequence
 from ..sources import readers, sinks, workspace
 from . import evaluation as E
 from . import retrieval as R
-from .base import query, table
+from .base import mean_in_order, query, table
 
 
 def docs(spark, d):
@@ -101,7 +101,7 @@ def flt05(spark, d):
 @query("flt10_low_confidence", "SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING bool_or(l_discount < 0.02) AND avg(l_discount) <= 0.05")
 def flt10(spark, d):
     """Also FLT09 and FLT31."""
-    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.bool_or(F.col("l_discount") < 0.02).alias("low"), F.avg("l_discount").alias("m"))
+    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.bool_or(F.col("l_discount") < 0.02).alias("low"), mean_in_order("l_discount").alias("m"))
     return g.where(F.col("low") & (F.col("m") <= 0.05)).select("l_orderkey")
 
 

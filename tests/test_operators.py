@@ -273,3 +273,30 @@ def test_retries():
 
     assert B.with_retries(flaky, sleep=waits.append) == "ok" and waits == [2.0, 4.0]
     assert B.backoff(10) == 60 and B.batch_size(27) == 9 and B.batch_size(20) == 10
+
+
+@pytest.mark.parametrize("name", ["flt10_low_confidence"])
+def test_means_are_added_up_in_the_order_of_rows(spark, tmp_path, name):
+    import random
+
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from quillspark.plans import registry
+
+    rng = random.Random(1)
+    orders = rng.sample([i for i in range(3000) for _ in range(6)], 18000)
+    rows = {"l_orderkey": orders, "l_discount": [rng.randrange(11) / 100 for _ in orders], "l_returnflag": rng.choices("RAN", k=len(orders))}
+    pq.write_table(pa.table(rows), tmp_path / "lineitem.parquet", row_group_size=600)
+    duck = duckdb.connect(config={"threads": 1})
+    duck.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in before:
+        spark.conf.set(k, "8k")
+    try:
+        found = registry.QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(tuple, found.collect())) == sorted(duck.sql(registry.ORACLE_SQL[name]).fetchall())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
