@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import consensus, markdown, sequence
 from ..sources import readers, sinks, workspace
 from ..streaming import incremental
-from .base import query, table
+from .base import mean_in_order, query, table
 
 
 def documents(spark, d):
@@ -205,7 +205,7 @@ def flt24(spark, d):
 @query("flt11_quality_pages", "SELECT l_orderkey, round(avg(l_discount), 6) AS mean FROM lineitem GROUP BY l_orderkey HAVING avg(l_discount) > 0.06 AND count(*) FILTER (l_returnflag = 'R') > 2")
 def flt11(spark, d):
     """Also FLT09, FLT10, FLT12 and FLT31: group predicates."""
-    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.avg("l_discount").alias("mean"), F.count_if(F.col("l_returnflag") == "R").alias("hits"))
+    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(mean_in_order("l_discount").alias("mean"), F.count_if(F.col("l_returnflag") == "R").alias("hits"))
     return g.where("mean > 0.06 and hits > 2").select("l_orderkey", F.round("mean", 6).alias("mean")).orderBy(F.desc("mean"))
 
 

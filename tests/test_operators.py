@@ -275,7 +275,7 @@ def test_retries():
     assert B.backoff(10) == 60 and B.batch_size(27) == 9 and B.batch_size(20) == 10
 
 
-@pytest.mark.parametrize("name", ["flt10_low_confidence"])
+@pytest.mark.parametrize("name", ["flt10_low_confidence", "flt11_quality_pages"])
 def test_means_are_added_up_in_the_order_of_rows(spark, tmp_path, name):
     import random
 
