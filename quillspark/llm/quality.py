@@ -15,11 +15,15 @@ Columns of the input may have any names.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import product
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +38,9 @@ SAMPLE = 6000
 #: Size of the hashed feature space, as a power of two.
 BITS = 14
 KEEP_FROM = 0.5
-#: Letters of the longest word that a worker keeps the shape of.
-LONGEST_KEPT = 64
+#: Letters of the longest word that a worker keeps the shape of, and words from which on it forgets them.
+LONGEST_KEPT, MOST_KEPT = 64, 60_000
 
-SYMBOLS = frozenset("#%&*$|~^=<>{}[]@_\\")
 # Frequent function words of the corpus languages.
 FUNCTION_WORDS = frozenset(
     """the of and to in a is that for it with as was on be by this are or an from at
@@ -53,25 +56,54 @@ def between(x: float, low: float, high: float) -> int:
     return 1 if x <= low else -1 if x > high else 0
 
 
+#: The function words in all mixtures of capitals; no other letters become those of a function word in lower case.
+FORMS = frozenset("".join(x) for w in FUNCTION_WORDS for x in product(*((c, c.upper()) for c in w)))
+EDGES = frozenset(".,!?")
+ODD = re.compile(r"[#%&*$|~^=<>{}\[\]@_\\]\S*")
+END = re.compile(r"[.!?](?!\S)")
+CAPITALS = bytes(range(65, 91))
+LETTERS = CAPITALS + CAPITALS.lower()
+ASCII = bytes(range(128))
+
+
+def letters(text: str) -> tuple[int, int]:
+    """Letters of a text, and capitals."""
+    raw = text.encode("utf-8", "surrogatepass")
+    found, capitals = (len(raw) - len(raw.translate(None, some)) for some in (LETTERS, CAPITALS))
+    if len(raw) > len(text):
+        rest = Counter(raw.translate(None, ASCII).decode("utf-8", "surrogatepass"))
+        found += sum(c for x, c in rest.items() if x.isalpha())
+        capitals += sum(c for x, c in rest.items() if x.isupper())
+    return found, capitals
+
+
+def split(text: str | None) -> tuple[list[str], int]:
+    """The words of a text, and how many equal the one before."""
+    words = text.split() if text else []
+    return words, sum(map(eq, words, words[1:]))
+
+
 def votes(text: str | None) -> tuple[int, ...]:
     """1 good, -1 bad, 0 nothing, for each labeller."""
-    words = text.split() if text else []
+    return votes_of(text, *split(text))
+
+
+def votes_of(text: str | None, words: list[str], same: int) -> tuple[int, ...]:
+    """The votes on a text that is split already."""
     n = len(words)
     if n < 3:
         return (0,) * len(LABELLERS)
-    letters = sum(map(str.isalpha, text)) or 1
-    odd = sum(1 for w in words if not w.isalpha() and not SYMBOLS.isdisjoint(w))
-    counts: dict[str, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
+    alphabetic, capitals = letters(text)
+    counts = Counter(words)
+    plain = sum(counts[w] for w in counts.keys() & FORMS)
+    plain += sum(counts[w] for w in [w for w in counts if w[-1] in EDGES or w[0] in EDGES] if w.lower().strip(".,!?") in FUNCTION_WORDS)
+    plain, ends = plain / n, len(END.findall(text))
     blocks = [len(set(words[i : i + 50])) / 50 for i in range(0, n - 49, 50)]
-    ends = sum(1 for w in words if w[-1] in ".!?")
-    plain = sum(c for w, c in counts.items() if w.lower().strip(".,!?") in FUNCTION_WORDS) / n
     return (
-        between(odd / n, 0.02, 0.15),
-        between(sum(map(str.isupper, text)) / letters, 0.15, 0.4),
+        between(len(ODD.findall(text)) / n, 0.02, 0.15),
+        between(capitals / (alphabetic or 1), 0.15, 0.4),
         between(text.count("!!") / n, 0.0, 0.1),
-        between(sum(map(str.__eq__, words, words[1:])) / n, 0.05, 0.2),
+        between(same / n, 0.05, 0.2),
         between(1 - sum(blocks) / len(blocks), 0.45, 0.6) if blocks else 0,
         between(max(counts.values()) / n, 0.15, 0.25) if n >= 20 else 0,
         between(counts.get("|", 0) / n, 0.0, 0.1),
@@ -138,6 +170,22 @@ def shape(word: str) -> str:
     return SHAPE.sub(run, word)[:12]
 
 
+class Known(dict):
+    """Checksums of the shapes of words."""
+
+    def __missing__(self, word: str) -> int:
+        # Letters alone, and letters before one mark, are told without the pattern.
+        body, last = word[:-1], word[-1]
+        if word.isalpha():
+            like = "a" if word.islower() else "A" if word.isupper() and body else "Aa"
+        elif body.isalpha() and not last.isalnum():
+            like = ("a" if body.islower() else "A" if body.isupper() and len(body) > 1 else "Aa") + last
+        else:
+            like = shape(word)
+        self[word] = found = zlib.crc32(like.encode("utf-8", "surrogatepass"))
+        return found
+
+
 class Shapes:
     """Hashed features of a text: counts of shapes, of shape pairs and of repeated words, by length.
 
@@ -145,27 +193,23 @@ class Shapes:
     """
 
     def __init__(self):
-        self.known: dict[str, int] = {}
+        self.known = Known()
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """The feature of each word, then of each two that stand side by side."""
+        ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        # Words of a text are kept together, however long; what stays for other texts is bounded.
+        if len(self.known) > MOST_KEPT or len(max(words, key=len)) > LONGEST_KEPT:
+            self.known.clear()
+        return np.concatenate([ids, ids[:-1] * 31 + ids[1:] * 17 + 7]) & (1 << BITS) - 1
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        words = text.split() if text else []
+        words, same = split(text)
         if not words:
             return np.empty(0, np.int64), np.empty(0)
-        known = self.known
-        if len(known) > 60_000:
-            known.clear()
-        try:
-            ids = np.asarray([known[w] for w in words], np.int64)
-        except KeyError:
-            own = {w: known[w] if w in known else zlib.crc32(shape(w).encode("utf-8", "surrogatepass")) for w in set(words)}
-            known.update((w, n) for w, n in own.items() if len(w) <= LONGEST_KEPT)
-            ids = np.asarray([own[w] for w in words], np.int64)
-        same = sum(map(str.__eq__, words, words[1:]))
-        mask = (1 << BITS) - 1
-        pairs = (ids[:-1] * 31 + ids[1:] * 17 + 7) & mask
-        found, counts = np.unique(np.concatenate([ids & mask, pairs]), return_counts=True)
+        found, counts = np.unique(self.places(words), return_counts=True)
         size = len(words) + 4
-        return np.append(found, mask + 1), np.append(counts / size, 2.0 * same / size)
+        return np.append(found, 1 << BITS), np.append(counts / size, 2.0 * same / size)
 
 
 @lru_cache(maxsize=1)
@@ -198,8 +242,14 @@ class QualityModel:
 
     def score(self, text: str | None) -> float:
         """The linear scorer's probability."""
-        found, values = worker_shapes().of(text)
-        return round(float(1 / (1 + np.exp(-np.clip(values @ self.weights[found] + self.weights[-1], -50, 50)))), 6)
+        return self.score_of(*split(text))
+
+    def score_of(self, words: list[str], same: int) -> float:
+        """The score of a text that is split already: equal features need not be counted, as their weights are summed."""
+        odds = float(self.weights[-1])
+        if words:
+            odds += float(self.weights[worker_shapes().places(words)].sum() + 2.0 * same * self.weights[1 << BITS]) / (len(words) + 4)
+        return round(1 / (1 + math.exp(-max(-50.0, min(50.0, odds)))), 6)
 
     def judged(self, rows: DataFrame, id_type: str) -> DataFrame:
         """(doc_id, pattern, posterior, score, keep) of rows (doc_id, text)."""
@@ -208,9 +258,13 @@ class QualityModel:
         def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = batch.column(1).to_pylist()
-                seen = [votes(t) for t in texts]
+                seen, score = [], []
+                for text in texts:
+                    words, same = split(text)
+                    seen.append(votes_of(text, words, same))
+                    score.append(model.score_of(words, same))
                 posterior = np.round(model.labels.posterior(np.asarray(seen, np.int64).reshape(-1, len(LABELLERS)) + 1), 6)
-                score = np.asarray([model.score(t) for t in texts], float)
+                score = np.asarray(score, float)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([pattern(v) for v in seen], pa.string()), pa.array(posterior, pa.float64()), pa.array(score), pa.array(score >= KEEP_FROM)],
                     ["doc_id", "pattern", "posterior", "score", "keep"],

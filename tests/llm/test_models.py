@@ -106,6 +106,23 @@ def test_quality_against_plain_python(spark):
         assert r.keep == (r.score >= quality.KEEP_FROM)
 
 
+def test_words_of_letters_need_no_pattern(monkeypatch):
+    words = "Plain words, of LETTERS. É Éa! ÉÀ ªb² ²a a² a_ a- x2 a.b -- 漢字。 Ǆx e\u0301 A, .".split()
+    told, met = [zlib.crc32(quality.shape(w).encode()) for w in words], []
+    pattern = quality.shape
+    monkeypatch.setattr(quality, "shape", lambda w: met.append(w) or pattern(w))
+    mask = (1 << quality.BITS) - 1
+    found, counts = quality.Shapes().of(" ".join(words))
+    seen = Counter(n & mask for n in told) + Counter((a * 31 + b * 17 + 7) & mask for a, b in zip(told, told[1:]))
+    assert dict(zip(found[:-1].tolist(), np.round(counts[:-1] * (len(words) + 4)).tolist())) == seen
+    assert met == ["ªb²", "²a", "a²", "x2", "a.b", "--", "."]
+
+
+def test_votes_of_mixed_texts():
+    texts = ["THE the! of, ..de!! x #a a#b#c é É\x1c漢字. " * 9, "\ud800 a. b ²", "oF,the the.of | | | x" * 30, " ".join("Aa b. C!! d".split() * 40)]
+    assert [list(quality.votes(t)) for t in texts] == [plain_votes(t) for t in texts]
+
+
 def test_prose_of_another_script_is_not_bad_for_it():
     russian = "Мы шли по дороге и видели лес, поле и реку. " * 5
     assert quality.votes(russian)[quality.LABELLERS.index("function_words")] == 0
