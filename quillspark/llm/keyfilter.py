@@ -26,3 +26,8 @@ def without(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """The rows that have none of the ``keys``; only those that may have one are shuffled."""
     told = marked(rows, keys, on)
     return told.where(~F.col("maybe")).unionByName(told.where("maybe").join(keys, on, "left_anti")).drop("maybe")
+
+
+def only(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows that may have one of the ``keys``: all that have, and few others; for an exact join to take."""
+    return marked(rows, keys, on).where("maybe").drop("maybe")

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from . import scratch, tokens
+from .keyfilter import without
 
 #: Labelled documents a language that fit the text model, and the most languages that its table is made for; more raise an error.
 SAMPLE, MAX_LANGUAGES = 500, 512
@@ -242,6 +243,10 @@ def keep_identified(docs: DataFrame, text_col="text", lang_col="lang", source_co
     """The documents whose language is told by text and source, with their columns.
 
     Sources stand for hosts.  The labels fit the text model and are no evidence of their own row besides.
+    What is told depends on text and source alone: only two 64-bit hashes of them are written beside the likelihoods.
     """
-    found = identify(docs, fit_text(docs, text_col=text_col, lang_col=lang_col), F.col(text_col), F.lit(None).cast("string"), F.col(source_col), F.struct("*"))
-    return found.where("accepted").select("row.*")
+    key = ["h1", "h2"]
+    hashes = [F.xxhash64(*x, F.col(text_col), F.lit(0), F.col(source_col)).alias(h) for h, x in zip(key, ([], [F.lit(1)]))]  # a null leaves a hash as it is
+    found = identify(docs, fit_text(docs, text_col=text_col, lang_col=lang_col), F.col(text_col), F.lit(None).cast("string"), F.col(source_col), F.struct(*hashes))
+    untold = scratch.stage(found.where("not coalesce(accepted, false)").select("row.*").distinct(), "untold")
+    return without(docs.select(F.struct("*").alias("row"), *hashes), untold, key).select("row.*")

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from . import scratch
 from .components import components
 from .decontaminate import LOWER, UPPER
-from .keyfilter import marked, without
+from .keyfilter import marked, only, without
 
 BLANK = r"[\x20\x09-\x0D]+"
 #: Longest posting list that is expanded into pairs.
@@ -84,10 +84,14 @@ class NgramJoin:
         )
         self.rows = scratch.stage(sets.select("doc_id", "text_hash", "n", "f"), "rows")
         #: One node a class of equal sets; f identifies it.
-        self.nodes = scratch.stage(
-            sets.where("n > 0 and doc_id is not null").groupBy("f", "n").agg(F.min("doc_id").alias("rep"), F.first("zone").alias("zone")), "nodes"
-        )
-        scratch.release(self.spark, sets)
+        some = "n > 0 and doc_id is not null"
+        equal = scratch.stage(self.rows.where(some).groupBy("f").count().where("count > 1").select("f"), "equal")
+        scratch.release(self.spark)
+        # Most sets are those of one row: they are not shuffled.
+        told = marked(sets.where(some), equal, ["f"])
+        nodes = told.where("maybe").groupBy("f", "n").agg(F.min("doc_id").alias("rep"), F.first("zone").alias("zone"))
+        self.nodes = scratch.stage(nodes.unionByName(told.where("not maybe").select("f", "n", F.col("doc_id").alias("rep"), "zone")), "nodes")
+        scratch.release(self.spark, sets, equal)
 
     def common(self, n: str = "n") -> str:
         """Tokens that the prefixes of a linked pair must share at least."""
@@ -103,7 +107,7 @@ class NgramJoin:
         A filter of bounded size passes over nearly all other texts before the shuffle; the join by id is exact.
         """
         wanted = nodes.select("f", F.col("rep").alias("doc_id"))
-        some = with_shingles(marked(self.docs, wanted, ["doc_id"]).where("maybe").join(wanted, "doc_id"), self.n)
+        some = with_shingles(only(self.docs, wanted, ["doc_id"]).join(wanted, "doc_id"), self.n)
         # Tested on the written table: a filter on computed sets would be pushed down and compute them again.
         sets = scratch.stage(some.select("f", F.xxhash64("sh").alias("own"), "sh"), "whole")
         if sets.groupBy("f").count().where("count > 1").take(1):
@@ -117,12 +121,14 @@ class NgramJoin:
         frequent = scratch.stage(frequent, "frequent")
         scratch.release(self.spark)
         # Nearly all tokens are rare: those are passed over before the shuffle.
-        some = marked(tokens, frequent, ["t"]).where("maybe").drop("maybe")
+        some = only(tokens, frequent, ["t"])
         met = scratch.stage(some.join(frequent, "t").groupBy("f").agg(F.collect_list(F.struct("level", "t")).alias("common")), "met")
         scratch.release(self.spark, frequent)
+        # Nodes without any are not shuffled.
+        told, none = marked(nodes, met, ["f"]), F.expr("cast(array() as array<struct<level:int,t:bigint>>)")
+        told = told.where("maybe").join(met, "f", "left").unionByName(told.where("not maybe").withColumn("common", none))
         ranked = scratch.stage(
-            nodes.join(met, "f", "left")
-            .withColumn("common", F.coalesce("common", F.expr("cast(array() as array<struct<level:int,t:bigint>>)")))
+            told.withColumn("common", F.coalesce("common", none))
             .withColumn("rare", F.expr("array_except(zone, transform(common, x -> x.t))"))
             .withColumn("hard", F.expr(f"size(rare) < {self.prefix_size()}"))
             .select("f", "n", "rep", "rare", "common", "hard"),
@@ -159,7 +165,7 @@ class NgramJoin:
         # The candidates of the first order meet the prefixes of the others.
         ends = pairs.select(F.explode(F.array("a", "b")).alias("f")).distinct()
         others = [f"slice({self.ordered('rare', seed)}, 1, {self.prefix_size()})" for seed in SEEDS[1:]]
-        prefixes = scratch.stage(ranked.join(ends, "f", "left_semi").select("f", F.expr(f"array({', '.join(others)})").alias("q")), "prefixes")
+        prefixes = scratch.stage(only(ranked, ends, ["f"]).join(ends, "f", "left_semi").select("f", F.expr(f"array({', '.join(others)})").alias("q")), "prefixes")
         met = pairs.join(prefixes.select(F.col("f").alias("a"), F.col("q").alias("x")), "a").join(prefixes.select(F.col("f").alias("b"), F.col("q").alias("y")), "b")
         met = scratch.stage(met.where(f"forall(zip_with(x, y, (p, q) -> size(array_intersect(p, q))), s -> s >= {self.common()})").select("a", "b"), "pairs")
         scratch.release(self.spark, pairs, prefixes)
@@ -167,12 +173,13 @@ class NgramJoin:
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) that are links, by their whole sets."""
-        left = sets.select(F.col("f").alias("a"), F.col("sh").alias("x"))
-        right = sets.select(F.col("f").alias("b"), F.col("sh").alias("y"))
-        both = pairs.select("a", "b").join(right, "b").join(left, "a")
+        pairs = scratch.stage(pairs.select("a", "b"), "verified")
+        left = only(sets.select(F.col("f").alias("a"), F.col("sh").alias("x")), pairs, ["a"])
+        right = only(sets.select(F.col("f").alias("b"), F.col("sh").alias("y")), pairs, ["b"])
+        both = pairs.join(right, "b").join(left, "a")
         shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("s"), (F.size("x") + F.size("y")).alias("n"))
         links = scratch.stage(shared.where(f"100 * s >= {self.percent} * (n - s)").select("a", "b"), "links")
-        scratch.release(self.spark)
+        scratch.release(self.spark, pairs)
         return links
 
     def joined(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -213,9 +220,10 @@ class NgramJoin:
         # A large family meets copies of its leader's set in many places.
         salts = F.ceil(F.col("c") / SALTED)
         met = led.where("even").groupBy("f", "n", "lead").agg(F.max("c").alias("c")).withColumn("salt", F.pmod(F.xxhash64("f"), salts)).drop("c")
-        copies = led.where("even").groupBy("lead").agg(F.max("c").alias("c")).join(sets.select(F.col("f").alias("lead"), F.col("sh").alias("y")), "lead")
+        leading = led.where("even").groupBy("lead").agg(F.max("c").alias("c"))
+        copies = leading.join(only(sets.select(F.col("f").alias("lead"), F.col("sh").alias("y")), leading, ["lead"]), "lead")
         copies = copies.select("lead", "y", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
-        both = met.join(sets.select("f", F.col("sh").alias("x")), "f").join(copies, ["lead", "salt"])
+        both = met.join(only(sets.select("f", F.col("sh").alias("x")), led.where("even"), ["f"]), "f").join(copies, ["lead", "salt"])
         both = both.withColumn("s", F.size(F.array_intersect("x", "y"))).withColumn("all", F.size("y") + F.col("n") - F.col("s"))
         differ = F.expr(f"if(100 * s >= {NEAR} * `all`, concat(array_except(x, y), array_except(y, x)), array())")
         stars = scratch.stage(both.select("f", "n", "lead", "s", "all", differ.alias("d")), "stars")
@@ -325,11 +333,11 @@ class NgramJoin:
         hard = scratch.stage(ranked.where("hard").select("f", "n", "rep"), "hard")
         scratch.release(self.spark, ranked)
         ends = pairs.select(F.explode(F.array("a", "b")).alias("f")).unionByName(hard.select("f")).distinct()
-        sets = self.sets_of(scratch.stage(self.nodes.join(ends, "f", "left_semi"), "ends"))
+        sets = self.sets_of(scratch.stage(only(self.nodes, ends, ["f"]).join(ends, "f", "left_semi"), "ends"))
         links = self.joined(pairs, sets)
         if not hard.take(1):
             return links
-        ranked = self.ranked(scratch.stage(hard.join(sets.select("f", "sh"), "f").withColumnRenamed("sh", "zone"), "hard"))
+        ranked = self.ranked(scratch.stage(hard.join(only(sets.select("f", "sh"), hard, ["f"]), "f").withColumnRenamed("sh", "zone"), "hard"))
         links = links.unionByName(self.joined(self.candidates(ranked), sets))
         if ranked.where("hard").take(1):
             links = links.unionByName(self.hard_links(ranked.where("hard"), sets))
