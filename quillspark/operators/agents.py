@@ -122,9 +122,30 @@ def claim_events(scenes: DataFrame, backend: Callable, key: str = "scene_id", te
 
 
 def rewritten(groups: DataFrame, backend: Callable, system: str, key: str, order: str, text: str) -> DataFrame:
-    """One generation over a group's ordered texts (UDF11): refiner, synthesizer, generalizer, condenser, document writer differ by their system text alone."""
-    bank = groups.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda x: F.concat(F.lit("- "), x[text])), "\n").alias("bank"), F.count(F.lit(1)).alias("n"))
-    return bank.select(key, "n", B.generate(backend, F.lit(system), F.col("bank"))["text"].alias("text"))
+    """One generation over a group's ordered texts (UDF11): refiner, synthesizer, generalizer, condenser, document writer differ by their system text alone.
+
+    A backend with ``measure`` and ``told`` knows of a text what adds up over its
+    parts: each row is measured where it lies, so a group may exceed memory and
+    need not fit a cell. Others are given a group's whole texts in one cell.
+    """
+    line = F.concat(F.lit("- "), F.col(text))
+    if not hasattr(backend, "measure"):
+        bank = groups.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda x: F.concat(F.lit("- "), x[text])), "\n").alias("bank"), F.count(F.lit(1)).alias("n"))
+        return bank.select(key, "n", B.generate(backend, F.lit(system), F.col("bank"))["text"].alias("text"))
+    between = backend.measure("\n")
+
+    @F.pandas_udf("array<long>")
+    def measures(lines: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else backend.measure(x) for x in lines], dtype=object)
+
+    @F.pandas_udf("string")
+    def told(sums: pd.Series) -> pd.Series:
+        return pd.Series([backend.told(system, [int(x) for x in s]) for s in sums], dtype=object)
+
+    parts = groups.select(key, measures(F.concat(line, F.lit("\n"))).alias("m"))
+    sums = [F.coalesce(F.sum(F.col("m")[i]) - b, F.lit(0).cast("long")) for i, b in enumerate(between)]
+    bank = parts.groupBy(key).agg(F.array(*sums).alias("sums"), F.count(F.lit(1)).alias("n"))
+    return bank.select(key, "n", told("sums").alias("text"))
 
 
 @dataclass
@@ -132,8 +153,14 @@ class Listing:
     """A deterministic writer: how many lines and characters it was given."""
 
     def __call__(self, system: str, messages: list[dict]) -> B.Reply:
-        given = messages[-1]["content"]
-        return B.Reply(f"{system} {len(given.split(chr(10)))} lines, {len(given)} characters")
+        return B.Reply(self.told(system, self.measure(messages[-1]["content"])))
+
+    def measure(self, part: str) -> list[int]:
+        """Line ends and characters; they add up over the parts of a text."""
+        return [part.count("\n"), len(part)]
+
+    def told(self, system: str, sums: list[int]) -> str:
+        return f"{system} {sums[0] + 1} lines, {sums[1]} characters"
 
 
 EDIT = re.compile(r"^(.+?) => (.*)$", re.S)

@@ -300,3 +300,15 @@ def test_means_are_added_up_in_the_order_of_rows(spark, tmp_path, name):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_groups_of_texts_are_written_up_without_one_cell(spark):
+    from quillspark.operators import agents
+
+    rows = [("a", i, t) for i, t in enumerate(["one", "two\nlines", "", None, "日本\n\n"])] + [("b", 0, "x"), (None, 1, "y\n"), ("c", 0, None)]
+    df = spark.createDataFrame(rows, "k string, o int, t string")
+    out = agents.rewritten(df, agents.Listing(), "Go.", "k", "o", "t")
+    plain = agents.rewritten(df, lambda s, m: agents.Listing()(s, m), "Go.", "k", "o", "t")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "collect_list" in plain._jdf.queryExecution().optimizedPlan().toString()
