@@ -312,3 +312,41 @@ def test_groups_of_texts_are_written_up_without_one_cell(spark):
     assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "collect_list" in plain._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_archives_are_packed_in_parts(spark, tmp_path, monkeypatch):
+    import io
+    import lzma
+    import tarfile
+
+    import pyarrow.fs as pafs
+
+    from quillspark.sources import archives
+
+    monkeypatch.setattr(archives, "PART", 3000)
+    monkeypatch.setattr(archives, "HELD", 1000)
+    files = {(a, f"{i}.txt"): f"{a} {i} é ".encode() * (i % 40) for a in ("x.tar.xz", "y.tar.xz") for i in range(300)}
+    df = spark.createDataFrame([(*k, bytearray(v)) for k, v in files.items()], "archive string, name string, data binary")
+    root = f"file://{tmp_path}/own"
+    assert archives.write_archives(df, root) == 2
+    for a in ("x.tar.xz", "y.tar.xz"):
+        with tarfile.open(tmp_path / "own" / a) as t:
+            assert [(m.name, t.extractfile(m).read()) for m in t] == sorted((n, v) for (x, n), v in files.items() if x == a)
+        with pafs.LocalFileSystem().open_input_file(str(tmp_path / "own" / a)) as f:
+            assert len(archives.tar_parts(f)) > 10
+    back = lambda where: {(r.archive.rpartition("/")[2], r.name): bytes(r.data) for r in archives.unpack(spark, where).collect()}
+    assert back(root) == files
+    assert sorted(p.name for p in (tmp_path / "own").iterdir() if not p.name.endswith(".crc")) == ["x.tar.xz", "y.tar.xz"]
+    # of other origin: one stream, or streams that cut files; a broken one
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as t:
+        for n in ("a", "b"):
+            info = tarfile.TarInfo(n)
+            info.size = 2000
+            t.addfile(info, io.BytesIO(n.encode() * 2000))
+    data = out.getvalue()
+    (tmp_path / "other").mkdir()
+    for n, streams in (("one", [data]), ("cut", [data[:1000], data[1000:]])):
+        (tmp_path / "other" / f"{n}.tar.xz").write_bytes(b"".join(map(lzma.compress, streams)))
+    (tmp_path / "other" / "bad.tar.xz").write_bytes(b"no archive")
+    assert back(f"file://{tmp_path}/other") == {(f"{n}.tar.xz", m): m.encode() * 2000 for n in ("one", "cut") for m in "ab"}
