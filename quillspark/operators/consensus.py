@@ -3,8 +3,9 @@
 Clustering depends on order (a line joins the first cluster whose first member
 is similar enough), so each page is one ordered group in Python.  Similarity is
 difflib's ratio of the lower-cased texts.  Pages may be long: equal texts are
-met once, and pairs whose letter counts or longest common subsequence already
-bound the ratio by 0.8 are never aligned.  Neither changes a result.
+met once, and pairs whose lengths, letter counts, common trigrams or longest
+common subsequence already bound the ratio by 0.8 are never aligned.  None
+changes a result.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,57 +29,106 @@ def ratio(a: str, b: str) -> float:
 
 
 def codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def letters(text: str) -> np.ndarray:
-    """Counts of a text's letters in 128 bins; letters may share a bin."""
-    return np.bincount(codes(text) & 127, minlength=128).astype(np.int32)
+class Lines:
+    """Lower-cased texts, and which earlier ones a text may be similar to.
 
-
-class Leaders:
-    """The first texts of clusters, and which of them a text may be similar to.
-
-    Matching blocks take no more letters than both texts have in common, and
-    form a common subsequence; so both bound the ratio from above.  The lengths
-    of the longest common subsequences with all leaders are found in one pass of
-    bit-parallel steps, the leaders side by side with a bit between.
+    Matching blocks take no more letters than both texts have in common.  A
+    block of m letters has m - 2 trigrams, so k blocks take at most the common
+    trigrams and 2 k letters more.  In a text of 200 letters or more difflib
+    passes over letters that are popular there: each block holds an unpopular
+    letter of it, but for one at the very beginning, which bounds k.  At last,
+    blocks form a common subsequence.
     """
 
-    def __init__(self):
-        self.texts: list[str] = []
-        self.counts = np.empty((16, 128), np.int32)
-        self.starts: list[int] = []
-        self.bits = self.end = 0
-        self.where: dict[int, int] = {}
-
-    def add(self, text: str, own: np.ndarray) -> None:
-        n, low = len(self.texts), codes(text)
-        if n == len(self.counts):
-            self.counts = np.concatenate([self.counts, np.empty_like(self.counts)])
-        self.counts[n] = own
-        self.texts.append(text)
-        self.starts.append(self.end)
-        for c in np.unique(low).tolist():
-            at = int.from_bytes(np.packbits(low == c, bitorder="little").tobytes(), "little")
-            self.where[c] = self.where.get(c, 0) | at << self.end
-        self.bits |= ((1 << len(low)) - 1) << self.end
-        self.end += len(low) + 1
-
-    def near(self, text: str, own: np.ndarray) -> list[int]:
-        n, size = len(self.texts), int(own.sum())
+    #: Counters of letters where a page has more kinds of them, and of trigrams; some may share one, which keeps the bounds.
+    LETTERS, TRIGRAMS, BLOCK = 512, 512, 1024
+
+    def __init__(self, texts: list[str]):
+        self.texts = [t.lower() for t in texts]
+        self.sizes = np.asarray([len(t) for t in self.texts], np.int64)
+        letters = codes("".join(self.texts))
+        kinds = int(letters.max(initial=0)) + 1
+        exact = kinds <= 256
+        if not exact:
+            found, letters = np.unique(letters, return_inverse=True)
+            kinds = len(found)
+            exact = kinds <= self.LETTERS
+            letters = letters if exact else letters % self.LETTERS
+        kinds = min(kinds, self.LETTERS)
+        kind = np.uint16 if self.sizes.max(initial=0) < 1 << 16 else np.uint32
+        ends = np.cumsum(self.sizes)
+        blocks = []
+        for first in range(0, len(texts), self.BLOCK):
+            sizes = self.sizes[first : first + self.BLOCK]
+            n, at = len(sizes), int(ends[first] - sizes[0])
+            own, line = letters[at : at + int(sizes.sum())].astype(np.int64), np.repeat(np.arange(n), sizes)
+            counts = np.bincount(line * kinds + own, minlength=n * kinds).reshape(n, kinds)
+            whole = line[2:] == line[:-2]
+            three = ((own[:-2] * 961 + own[1:-1] * 31 + own[2:]) % self.TRIGRAMS)[whole]
+            trigrams = np.bincount(line[2:][whole] * self.TRIGRAMS + three, minlength=n * self.TRIGRAMS).reshape(n, -1)
+            rare = np.where(counts > (sizes // 100 + 1)[:, None], 0, counts) if exact else counts
+            blocks.append([x.astype(kind) for x in (counts, trigrams, rare)])
+        self.counts, self.trigrams, self.rare = (np.concatenate(x) if len(x) > 1 else x[0] for x in zip(*blocks)) if blocks else ((),) * 3
+        self.masks: dict[int, dict[str, int]] = {}
+
+    def mask(self, i: int) -> dict[str, int]:
+        """For each letter of a text, the bits of its places."""
+        if i not in self.masks:
+            low, found = codes(self.texts[i]), {}
+            if len(low) < 400:
+                for at, c in enumerate(self.texts[i]):
+                    found[c] = found.get(c, 0) | 1 << at
+            else:
+                for c in np.unique(low).tolist():
+                    found[chr(c)] = int.from_bytes(np.packbits(low == c, bitorder="little").tobytes(), "little")
+            self.masks[i] = found
+        return self.masks[i]
+
+    def near(self, i: int, leaders: np.ndarray) -> list[int]:
+        """Of the leaders (in order) those that text i may be similar to."""
+        size = int(self.sizes[i])
         if not size:
-            return [i for i, x in enumerate(self.texts) if not x]
-        sizes = self.counts[:n].sum(1)
-        found = np.flatnonzero(2.0 * np.minimum(self.counts[:n], own).sum(1) / (sizes + size) > SIMILAR).tolist()
-        if not found:
+            return leaders[self.sizes[leaders] == 0].tolist()
+        sizes = self.sizes[leaders]
+        total = sizes + size
+        few = np.flatnonzero(2.0 * np.minimum(sizes, size) / total > SIMILAR)
+        if not len(few):
+            return []
+        leaders, sizes, total = leaders[few], sizes[few], total[few]
+        most = np.minimum(self.counts[leaders], self.counts[i]).sum(1, dtype=np.int64)
+        few = np.flatnonzero(2.0 * most / total > SIMILAR)
+        if not len(few):
+            return []
+        leaders, sizes, total, most = leaders[few], sizes[few], total[few], most[few]
+        if (long := sizes >= 200).any():
+            common = np.minimum(self.trigrams[leaders], self.trigrams[i]).sum(1, dtype=np.int64)
+            seeds = np.minimum(self.rare[leaders], self.counts[i]).sum(1, dtype=np.int64)
+            most = np.where(long, np.minimum(most, common + 2 * (seeds + 1)), most)
+            leaders = leaders[2.0 * most / total > SIMILAR]
+        return self.in_line(i, leaders.tolist())
+
+    def in_line(self, i: int, leaders: list[int]) -> list[int]:
+        """Those whose longest common subsequence with text i is long enough: bit-parallel steps over the text, the leaders side by side with a bit between."""
+        if not leaders:
             return []
-        bits = v = self.bits
-        for c in codes(text).tolist():
-            if u := v & self.where.get(c, 0):
+        where: dict[str, int] = {}
+        bits, end, starts = 0, 0, []
+        for j in leaders:
+            for c, at in self.mask(j).items():
+                where[c] = where.get(c, 0) | at << end
+            starts.append(end)
+            n = len(self.texts[j])
+            bits |= ((1 << n) - 1) << end
+            end += n + 1
+        v = bits
+        for c in self.texts[i]:
+            if u := v & where.get(c, 0):
                 v = ((v + u) | (v - u)) & bits
-        missed = bits & ~v
-        return [i for i in found if 2.0 * (missed >> self.starts[i] & ((1 << int(sizes[i])) - 1)).bit_count() / (sizes[i] + size) > SIMILAR]
+        missed, size = bits & ~v, len(self.texts[i])
+        return [j for j, at in zip(leaders, starts) if 2.0 * (missed >> at & ((1 << len(self.texts[j])) - 1)).bit_count() / (len(self.texts[j]) + size) > SIMILAR]
 
 
 def first_clusters(texts: list[str]) -> list[int]:
@@ -85,14 +136,17 @@ def first_clusters(texts: list[str]) -> list[int]:
 
     A text met again joins the same cluster: those before it are as they were.
     """
-    leaders, known = Leaders(), {}
-    for t in texts:
-        if t in known:
-            continue
-        own = letters(t)
-        known[t] = next((i for i in leaders.near(t, own) if ratio(t, leaders.texts[i]) > SIMILAR), len(leaders.texts))
-        if known[t] == len(leaders.texts):
-            leaders.add(t, own)
+    distinct = list(dict.fromkeys(texts))
+    if len(distinct) == 1:
+        return [0] * len(texts)
+    lines, known = Lines(distinct), {}
+    leaders, n = np.empty(len(distinct), np.int64), 0
+    number: dict[int, int] = {}
+    for i, t in enumerate(distinct):
+        first = next((j for j in lines.near(i, leaders[:n]) if ratio(t, distinct[j]) > SIMILAR), i) if n else i
+        if first == i:
+            leaders[n], number[i], n = i, n, n + 1
+        known[t] = number[first]
     return [known[t] for t in texts]
 
 
@@ -114,25 +168,54 @@ def merge_takes(rows: list[tuple[int, int, str, str, float]], takes: int) -> lis
     for row, i in zip(rows, first_clusters([r[3] for r in rows])):
         clusters.setdefault(i, []).append(row)
     out = []
-    for c in sorted(clusters.values(), key=lambda c: sum(r[1] for r in c) / len(c)):
-        character = Counter(r[2] for r in c).most_common(1)[0][0]
-        mode = [r for r in c if r[2] == character]
-        match = len(mode) / takes
-        mean = sum(r[4] for r in c) / len(c)
+    for c in sorted(clusters.values(), key=lambda c: sum([r[1] for r in c]) / len(c)):
+        characters = [r[2] for r in c]
+        character = characters[0]
+        n = characters.count(character)
+        if 2 * n < len(c):
+            character, n = Counter(characters).most_common(1)[0]
+        match = n / takes
+        mean = sum([r[4] for r in c]) / len(c)
         confidence = 1.0 if len(c) == 1 and takes == 1 else 0.6 * match + 0.4 * mean
         out.append((character, medoid([r[3] for r in c]), confidence, match, len(c)))
     return out
 
 
 def consensus(takes: DataFrame, page: str = "page") -> DataFrame:
-    """One row a consensus line of each page: page, pos, character, text, confidence, match_confidence, members."""
+    """One row a consensus line of each page: page, pos, character, text, confidence, match_confidence, members.
 
-    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(zip(pdf["take"], pdf["pos"], pdf["character"], pdf["text"], pdf["confidence"]))
-        out = merge_takes(rows, pdf["take"].nunique())
-        return pd.DataFrame([(key[0], i, *x) for i, x in enumerate(out)], columns=[page, "pos", "character", "text", "confidence", "match_confidence", "members"])
-
-    return takes.groupBy(page).applyInPandas(merge, f"{page} long, pos long, character string, text string, confidence double, match_confidence double, members long")
+    Pages come one after another and are merged as they end, without a table each.
+    """
+    columns = ["take", "pos", "character", "text", "confidence"]
+    names = [page, "pos", "character", "text", "confidence", "match_confidence", "members"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, out = None, [], []
+
+        def end() -> None:
+            if rows:
+                out.extend((key, i, *x) for i, x in enumerate(merge_takes(rows, len({r[0] for r in rows}))))
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+
+        for given in batches:
+            pages = given.column(0).to_pylist()
+            for k, row in zip(pages, zip(*(c.to_pylist() for c in given.columns[1:]))):
+                if k != key:
+                    end()
+                    key, rows = k, []
+                rows.append(row)
+            if out:
+                yield batch()
+                out = []
+        end()
+        if out:
+            yield batch()
+
+    ordered = takes.select(page, *columns).repartition(page).sortWithinPartitions(page)
+    return ordered.mapInArrow(merge, f"{page} long, pos long, character string, text string, confidence double, match_confidence double, members long")
 
 
 def similarity(a: Column, b: Column) -> Column:

@@ -350,3 +350,47 @@ def test_archives_are_packed_in_parts(spark, tmp_path, monkeypatch):
         (tmp_path / "other" / f"{n}.tar.xz").write_bytes(b"".join(map(lzma.compress, streams)))
     (tmp_path / "other" / "bad.tar.xz").write_bytes(b"no archive")
     assert back(f"file://{tmp_path}/other") == {(f"{n}.tar.xz", m): m.encode() * 2000 for n in ("one", "cut") for m in "ab"}
+
+
+def test_bounds_of_similar_lines_change_no_cluster(spark, monkeypatch):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(5)
+    kinds = ["abcdefghijklmnopqrstuvwxyz ", "eeeeaaaatttt nnniiissshhrrdlu,.", "éàüß abcdefABCDEF", "".join(map(chr, range(0x4E00, 0x4E00 + 900))), "ΑΣσςİı\ud800\0 "]
+
+    def changed(t, share):
+        return "".join(rng.choice(t) if rng.random() < share else c for c in t)
+
+    def plain(texts):
+        leaders, out = [], []
+        for t in texts:
+            out.append(next((i for i, x in enumerate(leaders) if SequenceMatcher(None, t.lower(), x.lower()).ratio() > 0.8), len(leaders)))
+            if out[-1] == len(leaders):
+                leaders.append(t)
+        return out
+
+    monkeypatch.setattr(consensus.Lines, "BLOCK", 16)
+    for round_ in range(30):
+        texts = []
+        for _ in range(10):
+            t = "".join(rng.choices(kinds[round_ % len(kinds)], k=rng.choice([0, 1, 2, 3, 30, 190, 199, 200, 201, 260, 400])))
+            texts += [t, changed(t, 0.03), changed(t, 0.15), t[len(t) // 5 :], t[: len(t) // 2] + " and more " + t[len(t) // 2 :], t.upper()]
+        rng.shuffle(texts)
+        assert consensus.first_clusters(texts) == plain(texts)
+    # long lines of like letters are never aligned, nor are their subsequences sought
+    monkeypatch.setattr(consensus.Lines, "in_line", lambda self, i, leaders: [1 / 0] if leaders else [])
+    words = ["".join(rng.choices(kinds[1].replace(" ", ""), k=rng.randrange(2, 9))) for _ in range(4000)]
+    assert consensus.first_clusters([" ".join(rng.choices(words, k=80)) for _ in range(40)]) == list(range(40))
+
+
+def test_consensus_of_pages_across_batches(spark):
+    rows = [(p, t, k, f"c{k % 2}", f"page {p} line {k} {'x' * (k % 7)}", 0.5) for p in (None, 1, 2, 3) for k in range(5) for t in range(3)]
+    df = spark.createDataFrame(rows, "page long, take int, pos int, character string, text string, confidence double")
+    want = [(p, i, *x) for p in (None, 1, 2, 3) for i, x in enumerate(consensus.merge_takes([r[1:] for r in rows if r[0] == p], 3))]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        assert sorted(map(tuple, consensus.consensus(df).collect()), key=str) == sorted(want, key=str)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
